@@ -52,6 +52,18 @@ def _engine(sql: str, duck: bool) -> str:
 
 
 def raw(spark: SparkSession, sf_dir: str, sql: str = RAW_SQL) -> DataFrame:
+    """Raw rows of a folder's tables; scanned once a session, as a file system would be."""
+    key = (spark.sparkContext.applicationId, sf_dir, sql)
+    if key not in _scanned:
+        _scanned[key] = shared_folder(spark, "scan")
+        _derived(spark, sf_dir, sql).write.parquet(_scanned[key])
+    return spark.read.parquet(_scanned[key])
+
+
+_scanned: dict[tuple[str, str, str], str] = {}
+
+
+def _derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     text = _engine(sql, False)
     for t in TABLES:  # named frames, so that no view of the session is touched
@@ -71,10 +83,9 @@ _built: dict[tuple[str, str], str] = {}
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog of a folder's tables; indexed once a session and then read, as searches do."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    built = C.build(raw(spark, sf_dir)) if key not in _built else None
-    if built is not None:
+    if key not in _built:
         path = shared_folder(spark, "catalog")
-        built.write.parquet(path)
+        C.build(raw(spark, sf_dir)).write.parquet(path)
         _built[key] = path
     return spark.read.parquet(_built[key])
 
@@ -338,9 +349,9 @@ _MOVED = _TWO + """, x as (select *, regexp_extract(path, '([^/]*)$', 1) nm, reg
 g1 as (select *, row_number() over (partition by kind, size, modified, cr, nm order by pk) k from x where action = 'deleted'), m1 as (select *, row_number() over (partition by kind, size, modified, cr, nm order by pk) k from x where action = 'created'),
 p1 as (select g1.kind, g1.path, m1.path t, g1.size from g1 join m1 using (kind, size, modified, cr, nm, k) where not (m1.path = g1.path or starts_with(m1.path, g1.path || '/'))),
 g2 as (select *, row_number() over (partition by kind, size, modified, cr, dr order by pk) k from x where action = 'deleted' and path not in (select path from p1)), m2 as (select *, row_number() over (partition by kind, size, modified, cr, dr order by pk) k from x where action = 'created' and path not in (select t from p1)),
-p as (select * from p1 union all select g2.kind, g2.path, m2.path, g2.size from g2 join m2 using (kind, size, modified, cr, dr, k) where not starts_with(m2.path, g2.path || '/')),
-al as (select 'moved' action, kind, path, t "to", size from p union all select action, kind, path, null, size from x where action = 'modified' or (action = 'deleted' and path not in (select path from p)) or (action = 'created' and path not in (select t from p))),
-f as (select path, t from p where kind = 'folder')
+mv as (select * from p1 union all select g2.kind, g2.path, m2.path, g2.size from g2 join m2 using (kind, size, modified, cr, dr, k) where not starts_with(m2.path, g2.path || '/')),
+al as (select 'moved' action, kind, path, t "to", size from mv union all select action, kind, path, null, size from x where action = 'modified' or (action = 'deleted' and path not in (select path from mv)) or (action = 'created' and path not in (select t from mv))),
+f as (select path, t from mv where kind = 'folder')
 select action, kind, path, "to", size, case when action = 'moved' and regexp_extract(path, '^(.*)/', 1) = regexp_extract("to", '^(.*)/', 1) then 'Renamed' else upper(action[1]) || action[2:] end as label from al
 where not exists (select 1 from f where (al.action in ('deleted', 'moved') and starts_with(al.path, f.path || '/')) or (al.action = 'created' and starts_with(al.path, f.t || '/')))"""
 _TARGETS = "t0 as (select '/w/' || r_name || '/' || n_name path from nation join region on n_regionkey = r_regionkey where n_nationkey % 3 = 0 union all select '/w/ASIA'), t as (select path from t0 where not exists (select 1 from t0 o where starts_with(t0.path, o.path || '/')))"
