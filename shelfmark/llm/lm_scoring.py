@@ -197,10 +197,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     training = source.where("NOT _held")
     counts = materialize(training.select(F.explode(_tokens(F.col("_text"))).alias("token")).groupBy("token").count(), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r[0]), r[1]) for r in counts.select(F.col("token").cast("binary"), "count").orderBy(F.desc("count"), "token").limit(HEAD).collect()]
-    last = min(((n, w) for w, n in head), key=lambda x: (x[0], [-b for b in x[1]]), default=None)
-    # rows after the head in the same order
-    tail = counts.where((F.col("count") < last[0]) | ((F.col("count") == last[0]) & (F.col("token").cast("binary") > F.lit(bytearray(max(w for w, n in head if n == last[0])))))) if last else counts
+    # the head's least count, from a histogram over a logarithmic scale (at most 1024 rows); no ordering of tokens
+    scale = F.floor(F.log2("count") * 16)
+    floor, size = None, 0
+    for bucket, n in sorted(counts.groupBy(scale.alias("b")).count().collect(), reverse=True):
+        if size + n > HEAD:
+            break
+        floor, size = bucket, size + n
+    head = [] if floor is None else [(bytes(r[0]), r[1]) for r in counts.where(scale >= floor).select(F.col("token").cast("binary"), "count").collect()]
+    tail = counts if floor is None else counts.where(scale < floor)
     by_class = tail.groupBy((F.crc32(F.col("token").cast("binary")) % TAIL_CLASSES).cast("int").alias("c")).agg(F.sum("count"), F.count("*")).collect()
     vocabulary = Vocabulary(head, total, distinct, {r[0]: (r[1], r[2]) for r in by_class})
     del head

@@ -83,10 +83,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 MIX_SQL = r"""with d as (select doc_id, source, case when text is null then 0 else len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) end::bigint size from documents),
 s as (select source, sum(size)::bigint source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 w from d group by source),
-r as (select *, sum(source_size) over () total, coalesce(sum(3 * source_size) over (o rows between unbounded preceding and 1 preceding), 0) spent,
+r as (select *, 3 * source_size / w::double ratio, sum(source_size) over () total, coalesce(sum(3 * source_size) over (o rows between unbounded preceding and 1 preceding), 0) spent,
  sum(w) over (o rows between current row and unbounded following) weight from s window o as (order by 3 * source_size / w::double, source nulls last)),
-c as (select *, 3 * source_size * weight <= (total - spent) * w capped from r),
-t as (select source, source_size, case when capped then 3.0 * source_size else ((total - spent) * w)::double / weight end::double target from c),
+f as (select total - spent rest, weight from r where 3 * source_size * weight > (total - spent) * w order by ratio, source nulls last limit 1),
+t as (select source, source_size, case when f.weight is null or 3 * source_size * f.weight <= rest * w then (3 * source_size)::double else (rest * w)::double / f.weight::double end target from r left join f on true),
 q as (select *, round_even(target, 0)::bigint flow from t),
 p as (select *, case when source_size = 0 then 0 else flow // source_size end base, case when source_size = 0 then 0 else flow % source_size end rest from q),
 o as (select doc_id, size, source_size, target, base, rest, coalesce(sum(size) over (partition by d.source order by md5('mix:' || doc_id::varchar), size rows between unbounded preceding and 1 preceding), 0) cum
