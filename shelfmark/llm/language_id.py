@@ -12,12 +12,12 @@ gives a row.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ ROUNDS, SMOOTH = 3, 0.1
 #: Most words that a worker keeps, and the longest (in characters) that the batched forward pass takes.
 KEPT, SHORT = 400_000, 24
 _SCALE = 30.0
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def read_pieces(path: str) -> list[str]:
