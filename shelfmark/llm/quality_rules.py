@@ -67,10 +67,8 @@ def cutoffs(rated: DataFrame, labels: DataFrame, stratum: str, id_col: str, good
     held = rated.where("NOT base_failed").withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(marked, F.col(id_col) == F.col("_id"))
     each = risk / len(GRIDS)
     over = [F.sum(F.when(F.col(a) > c * F.col(b), 1).otherwise(0)).cast("long").alias(f"{name}_{i}") for name, (a, b, grid) in GRIDS.items() for i, c in enumerate(grid)]
-    counts = held.groupBy("_stratum").agg(F.count("*").alias("_n"), *over)
-    strata = counts.agg(F.count("*").alias("_strata"))
-    counts = counts.join(F.broadcast(strata))  # one row
-    tested = counts
+    tested = materialize(held.groupBy("_stratum").agg(F.count("*").alias("_n"), *over), "strata")
+    strata = tested.count()
     log_odds = math.log(each / (1 - each))
     for name, (_, _, grid) in GRIDS.items():
         stacked = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"{name}_{i}").alias("k")) for i, c in enumerate(grid)])
@@ -80,7 +78,7 @@ def cutoffs(rated: DataFrame, labels: DataFrame, stratum: str, id_col: str, good
             step = lambda a, i: F.struct((a["t"] + F.log((F.col("_n") - i + 1) / i) + log_odds).alias("t"), (a["s"] + F.exp(a["t"] + F.log((F.col("_n") - i + 1) / i) + log_odds)).alias("s"))
             return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), first, step, lambda a: a["s"])
 
-        passed = F.filter(stacked, lambda x: tail(x["k"]) <= F.lit(level / len(GRIDS)) / F.col("_strata"))
+        passed = F.filter(stacked, lambda x: tail(x["k"]) <= F.lit(level / len(GRIDS)) / F.lit(float(max(strata, 1))))
         tested = tested.withColumn(name, F.array_min(F.transform(passed, lambda x: x["c"])))
     return tested.select("_stratum", *GRIDS)
 
