@@ -22,9 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (five-word shingles)."""
+    """Of each group of near copies the document with the smallest id stays (five-word shingles, similarity of 0.8 or more)."""
     known = keyed(docs)
-    groups = simhash.components(known, "_k", "text", shingle=5)
+    groups = simhash.similar_components(known, "_k", "text", shingle=5, similarity=0.8)
     return known.join(groups.where("_k = component_id").select("_k"), "_k", "left_semi").select(*docs.columns)
 
 

@@ -215,3 +215,37 @@ def test_pipeline(spark):
         docs = out.cache()
     assert docs.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() > 0
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+@pytest.mark.parametrize("most", [4, 64, 4096])
+def test_similar_components(spark, edge, most):
+    """Pairs at 0.85 or more are always together; no group is held together by pairs under 0.75."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        words = [rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(rng.choice([20, 150, 700]))]
+        for _ in range(rng.choice([1, 4, 12])):
+            new = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 30))):
+                new[rng.randrange(len(new))] = f"z{rng.randint(0, 9999)}"
+            texts.append(" ".join(new))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    close = lambda least: [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+
+    def grouped(pairs):
+        root = list(range(len(texts)))
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+        return root
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.component_id for r in simhash.similar_components(docs, most=most).orderBy("doc_id").collect()]
+    must = close(0.85)
+    assert len(must) > 20 and all(got[a] == got[b] for a, b in must)
+    loose = grouped(close(0.75))
+    assert all(loose[i] == loose[got[i]] for i in range(len(texts)))
+    if most == 4096:
+        found = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in simhash.similar_components(edge).collect())
+        assert found == [(False, 1, 1), (False, 2, 1), (False, 3, 1), (False, 4, 4), (False, 4, 4), (False, 5, 5), (False, 6, 6), (False, 7, 7), (True, 0, 4)]
+        assert simhash.similar_components(edge.where("false")).count() == 0
