@@ -27,6 +27,8 @@ ROUNDS, SMOOTH = 3, 0.1
 #: Most words that a worker keeps, and the longest (in characters) that the batched forward pass takes.
 KEPT, SHORT = 400_000, 24
 _SCALE = 30.0
+#: Closes a word in the lattice; no code point.
+_END = (1 << 21) - 1
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -44,9 +46,24 @@ class Model:
     def __init__(self, pieces: list[str], languages: list[str], counts: np.ndarray | None = None):
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
+        self._grow_trie()
         self.languages = languages
         self.set(np.ones((len(pieces) + 1, len(languages))) if counts is None else counts)
 
+    def _grow_trie(self) -> None:
+        """steps: sorted node << 21 | code point, closed by a key that is none; targets: the nodes reached; piece_of: a node's piece or -1."""
+        steps, piece_of = {}, [-1]
+        for piece, i in self.ids.items():
+            node = 0
+            for c in map(ord, piece):
+                node = steps.setdefault(node << 21 | c, len(piece_of))
+                if node == len(piece_of):
+                    piece_of.append(-1)
+            piece_of[node] = i
+        keys = np.array([*steps, np.iinfo(np.int64).max], np.int64)
+        order = np.argsort(keys)
+        self.steps, self.targets, self.piece_of = keys[order], np.array([*steps.values(), 0], np.int64)[order], np.array(piece_of, np.int32)
+
     def set(self, counts: np.ndarray) -> None:
         counts = counts + SMOOTH
         self.p = np.concatenate((counts / counts.sum(axis=0), np.zeros((1, counts.shape[1]))))
@@ -65,14 +82,27 @@ class Model:
         return out
 
     def _lattice(self, words: list[str]) -> np.ndarray:
-        """Piece at [word, end, length] for words of one length, the none-piece where there is none."""
-        size, none, get = len(words[0]), len(self.p) - 1, self.ids.get
-        spans = [(e - n, e) for e in range(1, size + 1) for n in range(1, min(e, self.longest) + 1)]
-        found = np.fromiter((get(w[s:e], none) for w in words for s, e in spans), np.int32, len(words) * len(spans)).reshape(len(words), len(spans))
-        grid = np.full((len(words), size + 1, min(self.longest, size) + 1), none, np.int32)
-        for k, (s, e) in enumerate(spans):
-            grid[:, e, e - s] = np.where(found[:, k] == none, none - 1, found[:, k]) if e - s == 1 else found[:, k]
-        return grid
+        """Piece at [word, end, length] for words of one length, the none-piece where there is none.
+
+        All starts of all words walk the trie together; a start leaves when no piece goes on.
+        """
+        size, none = len(words[0]), len(self.p) - 1
+        letters = np.full((len(words), size + 1), _END)
+        letters[:, :size] = np.array(words, f"U{size}").view(np.uint32).reshape(-1, size)
+        letters = letters.ravel()
+        grid = np.full((len(letters), min(self.longest, size) + 1), none, np.int32)
+        at = np.flatnonzero(letters != _END)
+        grid[at + 1, 1] = none - 1
+        node = np.zeros(len(at), np.int64)
+        for n in range(1, grid.shape[1]):
+            key = node << 21 | letters[at + n - 1]
+            step = np.searchsorted(self.steps, key)
+            goes = self.steps[step] == key
+            at, node = at[goes], self.targets[step[goes]]
+            piece = self.piece_of[node]
+            ends = piece >= 0
+            grid[at[ends] + n, n] = piece[ends]
+        return grid.reshape(len(words), size + 1, -1)
 
     def _batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Places of up to 4096 words of one length, and their lattice; words over SHORT are left out."""
