@@ -16,7 +16,7 @@ SimHash can't: texts that similar differ in 4 to 14 of 64 bits, so pigeonhole bl
 Its fingerprint holds smallest hashes instead: 16 blocks of four minima over all shingles (a pair at 0.8 shares
 none with probability 0.0002) and 512 lanes, each a byte of the smallest hash that falls into it, from which
 the similarity is verified (standard error at most 0.018, less for texts of under 512 shingles).
-Blocks that many fingerprints share are worked off in chunks; see _shrink.
+Blocks that many fingerprints share are worked off in chunks that all meet; see _shrink.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -188,71 +188,75 @@ def _with_minima(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return source.mapInArrow(run, docs.select(id_col).withColumns({"fp": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long")), "lanes": F.lit(b"")}).schema)
 
 
-def similar_links(prints: np.ndarray, lanes: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """(a spanning forest of the pairs that are similar enough, the place of one member of each tree)."""
-    left, found, heads = np.arange(len(prints)), [], []
+def similar_links(prints: np.ndarray, lanes: np.ndarray, similarity: float, trees: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that are similar enough and that, with the links that made `trees`, span every group of the members."""
+    left, found = np.arange(len(prints)), []
     while len(left):
-        heads.append(int(left[0]))
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             a = todo.pop()
-            others = lanes[left]
+            others, known = lanes[left], trees[left] == trees[a]
             same = np.count_nonzero((others == lanes[a]) & (others != 0), axis=1)
-            hit = same >= similarity * np.count_nonzero(others | lanes[a], axis=1)
+            hit = (same >= similarity * np.count_nonzero(others | lanes[a], axis=1)) & ~known
             found += [(int(prints[a]), int(prints[b])) for b in left[hit]]
-            todo += left[hit].tolist()
-            left = left[~hit]
-    return found, heads
+            todo += left[hit | known].tolist()
+            left = left[~(hit | known)]
+    return found
 
 
 def _forests(groups: DataFrame, similarity: float) -> DataFrame:
-    """(block, key, u, v) for each link of the groups' forests, and (block, key, head, null) for each tree."""
+    """(u, v) for each link of the groups' forests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, key, members in zip(batch["block"].to_pylist(), batch["key"].to_pylist(), batch["members"], strict=True):
-                prints = members.values.field("fp").to_numpy()
+            for members in batch["members"]:
+                prints, trees = (members.values.field(c).to_numpy() for c in ("fp", "tree"))
                 lanes = np.frombuffer(b"".join(members.values.field("lanes").to_pylist()), np.uint8).reshape(-1, LANES)
-                found, heads = similar_links(prints, lanes, similarity)
-                u = [a for a, _ in found] + prints[heads].tolist()
-                v = [b for _, b in found] + [None] * len(heads)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(u), pa.int32()), "key": pa.array([key] * len(u), pa.int64()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                found = similar_links(prints, lanes, similarity, trees)
+                yield pa.RecordBatch.from_pydict({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
-    return groups.select("block", "key", "members").mapInArrow(run, "block int, key long, u long, v long")
+    return groups.select("members").mapInArrow(run, "u long, v long")
 
 
 def _gather(rows: DataFrame, lanes: DataFrame, *chunk: str) -> DataFrame:
-    return rows.join(lanes, "fp").groupBy("block", "key", *chunk).agg(F.collect_list(F.struct("fp", "lanes")).alias("members"))
+    return rows.join(lanes, "fp").groupBy("block", "key", *chunk).agg(F.collect_list(F.struct("fp", "tree", "lanes")).alias("members"))
+
+
+def _chunk(n: Column, most: int) -> Column:
+    """A chunk for each fingerprint of a key, of about most / 2 of the key's n fingerprints."""
+    return F.pmod(F.xxhash64("fp", "block"), F.ceil(n * 2 / most))
 
 
 def _shrink(rows: DataFrame, lanes: DataFrame, similarity: float, most: int) -> DataFrame:
     """Links under keys (block, key) of the rows (block, key, fp).
 
     Keys of up to `most` fingerprints are verified at once. Larger ones are dealt into chunks by a hash of
-    fingerprint and block; each chunk's trees are linked and one member of each goes to the next round. Where
-    a round leaves over half of the rows, every two chunks of what is left meet, so no pair is left out.
+    fingerprint and block, and each chunk's trees are linked. Of what these links connect, each key's largest
+    tree is known to be one; every other member of the key, not a head alone, then meets all members, so no pair is
+    left out. Chunks of the largest tree need not meet each other, so the cost is the key's size times what is
+    outside that tree: in proportion for large groups of near copies, the square where most are unlike.
     """
-    out = None
-    while True:
-        rows = materialize(rows, "rows")
-        sizes = rows.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
-        sized = rows.join(sizes, ["block", "key"])
-        links = _forests(_gather(sized.where(F.col("n") <= most), lanes), similarity).where("v IS NOT NULL").select("u", "v")
-        out = links if out is None else out.unionByName(links)
-        large = sized.where(F.col("n") > most)
-        before = large.count()
-        if not before:
-            return out
-        chunks = F.ceil(F.col("n") * 2 / most)
-        dealt = large.withColumn("chunk", F.pmod(F.xxhash64("fp", "block"), chunks))
-        made = materialize(_forests(_gather(dealt, lanes, "chunk"), similarity), "forests")
-        out = out.unionByName(made.where("v IS NOT NULL").select("u", "v"))
-        rows = made.where("v IS NULL").select("block", "key", F.col("u").alias("fp"))
-        if 2 * rows.count() > before:
-            left = rows.join(sizes, ["block", "key"]).withColumn("chunk", F.pmod(F.xxhash64("fp", "block"), chunks))
-            meet = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-            pairs = meet.select("block", "key", "fp", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
-            return out.unionByName(_forests(_gather(pairs, lanes, "a", "b"), similarity).where("v IS NOT NULL").select("u", "v"))
+    rows = materialize(rows, "rows")
+    sizes = rows.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = rows.join(sizes, ["block", "key"]).withColumn("tree", F.col("fp"))
+    out = _forests(_gather(sized.where(F.col("n") <= most), lanes), similarity)
+    large = materialize(sized.where(F.col("n") > most), "large-keys")
+    if large.isEmpty():
+        return out
+    out = materialize(out.unionByName(_forests(_gather(large.withColumn("chunk", _chunk(F.col("n"), most)), lanes, "chunk"), similarity)), "links")
+    roots = connected_components(out)
+    known = large.drop("tree").join(roots, large.fp == roots.node, "left").select("block", "key", "fp", "n", F.coalesce("root", "fp").alias("tree"))
+    known = materialize(known, "known")
+    trees = known.groupBy("block", "key", "tree").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    largest = trees.groupBy("block", "key").agg(F.max(F.struct("c", "tree")).alias("top"), F.first("n").alias("n")).where("top.c < n")
+    parts = largest.select("block", "key", F.col("top.tree").alias("top"), F.ceil((F.col("n") - F.col("top.c")) * 2 / most).alias("rest_chunks"), F.ceil(F.col("top.c") * 2 / most).alias("top_chunks"))
+    placed = known.drop("n").join(parts, ["block", "key"])
+    hashed, is_top = F.xxhash64("fp", "block"), F.col("tree") == F.col("top")
+    placed = placed.withColumn("chunk", F.when(is_top, F.col("rest_chunks") + F.pmod(hashed, F.col("top_chunks"))).otherwise(F.pmod(hashed, F.col("rest_chunks"))))
+    last = F.when(is_top, F.col("rest_chunks")).otherwise(F.col("rest_chunks") + F.col("top_chunks")) - 1
+    meet = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("chunk <> other")
+    pairs = meet.select("block", "key", "fp", "tree", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+    return out.unionByName(_forests(_gather(pairs, lanes, "a", "b"), similarity))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = MOST) -> DataFrame:

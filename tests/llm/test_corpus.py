@@ -249,3 +249,20 @@ def test_similar_components(spark, edge, most):
         found = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in simhash.similar_components(edge).collect())
         assert found == [(False, 1, 1), (False, 2, 1), (False, 3, 1), (False, 4, 4), (False, 4, 4), (False, 5, 5), (False, 6, 6), (False, 7, 7), (True, 0, 4)]
         assert simhash.similar_components(edge.where("false")).count() == 0
+
+
+def test_similar_star(spark):
+    """An original and copies that are near to it but not to each other are one group, however few meet at a time."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(1200)]
+    texts = [" ".join(words)]
+    for i in range(300):
+        new = list(words)
+        for at in rng.sample(range(2, 1198, 5), 18):
+            new[at] = f"n{i}x{at}"
+        texts.append(" ".join(new))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = lambda a, b: len(a & b) / len(a | b)
+    assert all(near(sets[0], a) > 0.84 and all(near(a, b) < 0.8 for b in sets[1:i]) for i, a in enumerate(sets) if i)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.component_id for r in simhash.similar_components(docs, most=32).collect()} == {0}
