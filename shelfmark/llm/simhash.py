@@ -15,7 +15,8 @@ similar_components() serves the rule "Jaccard similarity of five-word shingles o
 SimHash can't: texts that similar differ in 4 to 14 of 64 bits, so pigeonhole blocks would be of four bits.
 Its fingerprint holds smallest hashes instead: 16 blocks of four minima over all shingles (a pair at 0.8 shares
 none with probability 0.0002) and 512 lanes, each a byte of the smallest hash that falls into it, from which
-the similarity is verified (standard error at most 0.018, less for texts of under 512 shingles).
+the similarity is estimated (standard error at most 0.018, less for texts of under 512 shingles). The estimate
+only prunes: pairs within MARGIN of the rule (over five standard errors) are decided by their shingle sets.
 Blocks that many fingerprints share are worked off in chunks that all meet; see _shrink.
 """
 
@@ -158,21 +159,29 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Blocks of the similarity fingerprint, minima in a block, and lanes.
 BLOCKS, ROWS, LANES = 16, 4, 512
+#: Estimates this far from the rule decide a pair, if so many lanes are in use; with fewer none links and SMALL_MARGIN dismisses.
+MARGIN, LEAST_LANES, SMALL_MARGIN = 0.1, 64, 0.3
+#: Most bytes of shingle sets in a part of a group that is decided by them; two parts meet at a time.
+PART = 16 << 20
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"factor %d" % i) | 1 for i in range(BLOCKS * ROWS)], np.uint64)
 
 
-def minima(text: bytes, shingle: int = 5) -> tuple[int, list[int], bytes]:
-    """(fingerprint of the shingle set, its blocks' keys, its lanes: 0 where no shingle fell)."""
-    h = np.unique(shingle_hashes(text, shingle))
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The lanes of ascending distinct hashes: a byte of the smallest in each, 0 where none fell."""
     lanes = np.zeros(LANES, np.uint8)
+    places, first = np.unique((h >> np.uint64(55)).astype(np.int64), return_index=True)
+    lanes[places] = (h[first] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return lanes
+
+
+def minima(text: bytes, shingle: int = 5) -> tuple[int, list[int], bytes, int]:
+    """(fingerprint of the shingle set, its blocks' keys, its lanes, its size)."""
+    h = np.unique(shingle_hashes(text, shingle))
     if not len(h):
-        return 0, [0] * BLOCKS, lanes.tobytes()
+        return 0, [0] * BLOCKS, bytes(LANES), 0
     low = np.array([(h * f).min() for f in _FACTORS], np.uint64).astype("<u8").tobytes()
     keys = [xxhash.xxh64_intdigest(low[8 * ROWS * b : 8 * ROWS * (b + 1)], b) for b in range(BLOCKS)]
-    at = (h >> np.uint64(55)).astype(np.int64)  # h ascends, so a lane's first is its smallest
-    places, first = np.unique(at, return_index=True)
-    lanes[places] = (h[first] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return xxhash.xxh64_intdigest(h.tobytes(), 0), keys, lanes.tobytes()
+    return xxhash.xxh64_intdigest(h.tobytes(), 0), keys, sketch(h).tobytes(), len(h)
 
 
 def _with_minima(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -182,44 +191,130 @@ def _with_minima(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             prints = np.array([x[0] for x in found], np.uint64).view(np.int64)
             keys = np.array([x[1] for x in found], np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BLOCKS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(prints), lists, pa.array([x[2] for x in found], pa.binary())], names=[id_col, "fp", "keys", "lanes"])
+            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(prints), lists, pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.int32())], names=[id_col, "fp", "keys", "lanes", "size"])
 
     source = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_b"))
-    return source.mapInArrow(run, docs.select(id_col).withColumns({"fp": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long")), "lanes": F.lit(b"")}).schema)
+    return source.mapInArrow(run, docs.select(id_col).withColumns({"fp": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long")), "lanes": F.lit(b""), "size": F.lit(0)}).schema)
+
 
+def _estimates(others: np.ndarray, lanes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Estimated similarity of each of the others to one, and whether it surely is or may be similar enough."""
+    union = np.count_nonzero(others | lanes, axis=1)
+    guess = np.count_nonzero((others == lanes) & (others != 0), axis=1) / np.maximum(union, 1)
+    enough = union >= LEAST_LANES
+    return guess, enough & (guess >= similarity + MARGIN), (union > 0) & (guess >= similarity - np.where(enough, MARGIN, SMALL_MARGIN))
 
-def similar_links(prints: np.ndarray, lanes: np.ndarray, similarity: float, trees: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that are similar enough and that, with the links that made `trees`, span every group of the members."""
-    left, found = np.arange(len(prints)), []
+
+def similar_links(lanes: np.ndarray, similarity: float, trees: np.ndarray, sure: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(pairs that surely are, or may be, similar enough and join `trees` to larger ones, the larger tree of each member)."""
+    left, found, joined = np.arange(len(lanes)), [], np.empty(len(lanes), np.int64)
     while len(left):
-        todo, left = [left[0]], left[1:]
+        first = left[0]
+        joined[first], todo, left = first, [first], left[1:]
         while todo and len(left):
             a = todo.pop()
-            others, known = lanes[left], trees[left] == trees[a]
-            same = np.count_nonzero((others == lanes[a]) & (others != 0), axis=1)
-            hit = (same >= similarity * np.count_nonzero(others | lanes[a], axis=1)) & ~known
-            found += [(int(prints[a]), int(prints[b])) for b in left[hit]]
+            known = trees[left] == trees[a]
+            hit = _estimates(lanes[left], lanes[a], similarity)[1 if sure else 2] & ~known
+            found += [(int(a), int(b)) for b in left[hit]]
+            joined[left[hit | known]] = first
             todo += left[hit | known].tolist()
             left = left[~(hit | known)]
-    return found
+    return found, joined
+
+
+def _unsure(prints: np.ndarray, sizes: np.ndarray, trees: np.ndarray, loose: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number, fingerprints, their trees) of each group of trees that may be one; the same members have the same number."""
+    for head in np.unique(loose):
+        at = np.flatnonzero(loose == head)
+        if len(np.unique(trees[at])) < 2:
+            continue
+        at = at[np.argsort(prints[at])]
+        _, tree = np.unique(trees[at], return_inverse=True)
+        low = np.full(tree.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, tree, prints[at])
+        part = np.cumsum(sizes[at].astype(np.int64) * 8) // PART
+        parts = np.unique(part).tolist()
+        for some in combinations(parts, 2) if len(parts) > 1 else [parts]:
+            those = np.isin(part, some)
+            fps, low_of = prints[at][those], low[tree][those]
+            yield xxhash.xxh64_intdigest(np.concatenate((fps, low_of)).tobytes(), 0), fps, low_of
 
 
 def _forests(groups: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) for each link of the groups' forests."""
+    """(u, v, null) for each sure link of the groups' forests; (fp, tree, number) for each member of trees that may be one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members in batch["members"]:
-                prints, trees = (members.values.field(c).to_numpy() for c in ("fp", "tree"))
+                prints, trees, sizes = (members.values.field(c).to_numpy() for c in ("fp", "tree", "size"))
                 lanes = np.frombuffer(b"".join(members.values.field("lanes").to_pylist()), np.uint8).reshape(-1, LANES)
-                found = similar_links(prints, lanes, similarity, trees)
+                found, joined = similar_links(lanes, similarity, trees, True)
+                u, v, n = prints[[a for a, _ in found]].tolist(), prints[[b for _, b in found]].tolist(), [None] * len(found)
+                if joined.any():
+                    for number, fps, tree in _unsure(prints, sizes, joined, similar_links(lanes, similarity, joined, False)[1]):
+                        u += fps.tolist()
+                        v += tree.tolist()
+                        n += [_signed(number)] * len(fps)
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "unsure": pa.array(n, pa.int64())})
+
+    return groups.select("members").mapInArrow(run, "u long, v long, unsure long")
+
+
+def exact_links(prints: np.ndarray, trees: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs whose shingle sets are similar enough and that join the trees; the likeliest are compared first."""
+    lanes = np.array([sketch(h) for h in sets]).reshape(-1, LANES)
+    guesses, ones, others = [], [], []
+    for i in range(len(sets) - 1):
+        guess, _, may = _estimates(lanes[i + 1 :], lanes[i], similarity)
+        hit = np.flatnonzero(may & (trees[i + 1 :] != trees[i]))
+        guesses.append(guess[hit].astype(np.float32))
+        ones.append(np.full(len(hit), i, np.int32))
+        others.append((hit + i + 1).astype(np.int32))
+    root, found = {t: t for t in trees.tolist()}, []
+
+    def top(t: int) -> int:
+        while root[t] != t:
+            root[t] = root[root[t]]
+            t = root[t]
+        return t
+
+    if guesses:
+        order = np.argsort(-np.concatenate(guesses), kind="stable")
+        for i, j in zip(np.concatenate(ones)[order].tolist(), np.concatenate(others)[order].tolist(), strict=True):
+            a, b = top(int(trees[i])), top(int(trees[j]))
+            if a != b:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both / (len(sets[i]) + len(sets[j]) - both) >= similarity:
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(prints[i]), int(prints[j])))
+    return found
+
+
+def _exact(unsure: DataFrame, docs: DataFrame, lows: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (u, v) by whole shingle sets in the groups (fp, tree, unsure); only their texts (by lows: fp, low) are read again."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(b, shingle)).astype("<u8").tobytes() for b in batch["_b"].to_pylist()]
+            prints = np.array([xxhash.xxh64_intdigest(b, 0) for b in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array(found, pa.binary())], names=["fp", "set"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch["members"]:
+                prints, first = np.unique(members.values.field("fp").to_numpy(), return_index=True)
+                trees, whole = members.values.field("tree").to_numpy()[first], members.values.field("set")
+                found = exact_links(prints, trees, [np.frombuffer(whole[i].as_py(), "<u8") for i in first.tolist()], similarity)
                 yield pa.RecordBatch.from_pydict({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
-    return groups.select("members").mapInArrow(run, "u long, v long")
+    ids = materialize(lows.join(unsure.select("fp").distinct(), "fp", "left_semi").select("low").distinct(), "unsure-ids")
+    texts = docs.join(ids, docs[id_col].eqNullSafe(ids.low), "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_b"))
+    members = unsure.join(texts.mapInArrow(sets, "fp long, set binary"), "fp").groupBy("unsure").agg(F.collect_list(F.struct("fp", "tree", "set")).alias("members"))
+    return members.select("members").mapInArrow(decide, "u long, v long")
 
 
 def _gather(rows: DataFrame, lanes: DataFrame, *chunk: str) -> DataFrame:
-    return rows.join(lanes, "fp").groupBy("block", "key", *chunk).agg(F.collect_list(F.struct("fp", "tree", "lanes")).alias("members"))
+    return rows.join(lanes, "fp").groupBy("block", "key", *chunk).agg(F.collect_list(F.struct("fp", "tree", "lanes", "size")).alias("members"))
 
 
 def _chunk(n: Column, most: int) -> Column:
@@ -228,7 +323,7 @@ def _chunk(n: Column, most: int) -> Column:
 
 
 def _shrink(rows: DataFrame, lanes: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Links under keys (block, key) of the rows (block, key, fp).
+    """Sure links, and groups of trees that may be one, as _forests gives them, under keys (block, key) of the rows (block, key, fp).
 
     Keys of up to `most` fingerprints are verified at once. Larger ones are dealt into chunks by a hash of
     fingerprint and block, and each chunk's trees are linked. Of what these links connect, each key's largest
@@ -243,8 +338,9 @@ def _shrink(rows: DataFrame, lanes: DataFrame, similarity: float, most: int) ->
     large = materialize(sized.where(F.col("n") > most), "large-keys")
     if large.isEmpty():
         return out
-    out = materialize(out.unionByName(_forests(_gather(large.withColumn("chunk", _chunk(F.col("n"), most)), lanes, "chunk"), similarity)), "links")
-    roots = connected_components(out)
+    in_chunks = _forests(_gather(large.withColumn("chunk", _chunk(F.col("n"), most)), lanes, "chunk"), similarity)
+    out = materialize(out.unionByName(in_chunks.where("unsure IS NULL")), "links")
+    roots = connected_components(out.where("unsure IS NULL").select("u", "v"))
     known = large.drop("tree").join(roots, large.fp == roots.node, "left").select("block", "key", "fp", "n", F.coalesce("root", "fp").alias("tree"))
     known = materialize(known, "known")
     trees = known.groupBy("block", "key", "tree").agg(F.count("*").alias("c"), F.first("n").alias("n"))
@@ -265,9 +361,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts without a word are alike, and like no other; null ids and repeated rows as in components().
     """
     prints = materialize(_with_minima(docs, id_col, text_col, shingle), "minima")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.first("keys").alias("keys"), F.first("lanes").alias("lanes")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.first("keys").alias("keys"), F.first("lanes").alias("lanes"), F.first("size").alias("size")), "distinct")
     keys = distinct.select("fp", F.posexplode("keys").alias("block", "key"))
-    roots = connected_components(_shrink(keys.select("block", "key", "fp"), distinct.select("fp", "lanes"), similarity, most))
+    made = materialize(_shrink(keys.select("block", "key", "fp"), distinct.select("fp", "lanes", "size"), similarity, most), "made")
+    links = made.where("unsure IS NULL").select("u", "v")
+    unsure = materialize(made.where("unsure IS NOT NULL").select(F.col("u").alias("fp"), F.col("v").alias("tree"), "unsure").distinct(), "unsure")
+    if not unsure.isEmpty():
+        links = links.unionByName(_exact(unsure, docs, distinct.select("fp", "low"), id_col, text_col, shingle, similarity))
+    roots = connected_components(links)
     labelled = distinct.select("fp", "low").join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.select(id_col, "fp").join(labelled.join(lows, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")

@@ -266,3 +266,19 @@ def test_similar_star(spark):
     assert all(near(sets[0], a) > 0.84 and all(near(a, b) < 0.8 for b in sets[1:i]) for i, a in enumerate(sets) if i)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.component_id for r in simhash.similar_components(docs, most=32).collect()} == {0}
+
+
+def test_similar_exact(spark):
+    """Pairs at exactly 0.8 are together, and pairs just under it are not, at any length."""
+    rows, want = [], []
+    for n, new, together in [(40, 5, True), (1600, 200, True), (1592, 200, False), (39, 5, False)] * 20:
+        words = [f"p{len(rows)}x{i}" for i in range(n + 4)]  # n shingles in common at the start, `new` more on either side
+        for side in "ab":
+            rows.append((len(rows), " ".join(words + [f"{side}{i}" for i in range(new)])))
+        want += [len(rows) - 2, len(rows) - 2 if together else len(rows) - 1]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    for k in range(0, len(rows), 2):
+        near = len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1])
+        assert 0.78 < near < 0.82 and (near >= 0.8) == (want[k + 1] == k)
+    got = [r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == want
