@@ -46,6 +46,7 @@ def enriched(rolled: DataFrame, exact_fold: bool = False) -> DataFrame:
         base.withColumn("name", F.encode("raw_name", "ISO-8859-1"))
         .withColumn("dir", F.encode("raw_dir", "ISO-8859-1"))
         .withColumn("ext", T.sort_extension(F.col("name_text")))
+        .withColumn("fext", T.filter_extension(F.col("name_text")))
         .withColumn("path_key", F.replace("raw", F.lit("/"), F.lit("\0")))
         .withColumn("name_fold", fold(F.col("name_text")))
         .withColumn("path_fold", fold(F.col("path_text")))

@@ -42,17 +42,18 @@ def _affix(t: L.Affix) -> Column:
 
 
 def _within(t: L.Within) -> Column:
-    out = F.lit(True)
+    out = F.col(t.column).isNotNull()
     if t.low is not None:
         out &= F.col(t.column) >= t.low
     if t.high is not None:
         out &= F.col(t.column) <= min(t.high, 2**63 - 1)
     if t.column == "size":
         out &= F.col("kind").isin("file", "folder")
-    return F.coalesce(out & F.col(t.column).isNotNull(), F.lit(False))
+    return out
 
 
 def _leaf(t) -> Column | None:
+    """The bare predicate of a term about one row, which the scan can take over; null counts as no."""
     match t:
         case L.All():
             return F.lit(True)
@@ -65,11 +66,11 @@ def _leaf(t) -> Column | None:
         case L.Kind():
             return F.col("kind") == t.kind
         case L.Ext():
-            return (F.col("kind") == "file") & F.coalesce(T.filter_extension(F.col("name_text")).isin(*t.extensions), F.lit(False))
+            return (F.col("kind") == "file") & F.col("fext").isin(*t.extensions)
         case L.Within():
             return _within(t)
         case L.Parent():
-            return F.coalesce(F.col("dir") == F.lit(t.path.encode()), F.lit(False))
+            return F.col("dir") == F.lit(t.path.encode())
     return None
 
 
@@ -111,7 +112,7 @@ class Compiler:
             return leaf
         match t:
             case L.Not():
-                return ~self._column(t.term, flags)
+                return ~F.coalesce(self._column(t.term, flags), F.lit(False))
             case L.Or():
                 out = self._column(t.terms[0], flags)
                 for x in t.terms[1:]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -43,8 +44,6 @@ from (select *, cast(case when kind = 'file' and path like '%/order-%' then NUMB
 
 
 def _engine(sql: str, duck: bool) -> str:
-    import re
-
     sql = sql.replace("(RAW)", f"({RAW_SQL})")
     sql = re.sub(r"EPOCH\((\w+)\)", r"cast(epoch(\1) as bigint)" if duck else r"unix_seconds(cast(\1 as timestamp))", sql)
     sql = sql.replace("BYTES(", "strlen(" if duck else "octet_length(")
@@ -72,8 +71,6 @@ def _derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def _named(sql: str, table: str) -> str:
-    import re
-
     return re.sub(rf"\b(from|join) {table}\b", rf"\1 {{{table}}} {table}", sql)
 
 
@@ -108,15 +105,15 @@ def _shown(rows: DataFrame, *more: str) -> DataFrame:
 #: name: (query, sort or None, descending, limit, offset, SQL condition over c)
 SEARCHES: dict[str, tuple] = {
     "search_flagship": ("ext:pdf size:>1kb", "size", True, 100, 0, "kind = 'file' and fext = 'pdf' and size > 1024"),
-    "search_contains": ("ciónes", None, 0, 0, 0, "contains(name_fold, 'ciones')"),
+    "search_contains": ("CIÓN", None, 0, 0, 0, "contains(name_fold, 'cion')"),
     "search_case": ("case:The", None, 0, 0, 0, "contains(name, 'The')"),
     "search_wholeword": ("ww:the", None, 0, 0, 0, "regexp_matches(name_fold, '(^|[^0-9a-z\\x{80}-\\x{10FFFF}])the([^0-9a-z\\x{80}-\\x{10FFFF}]|$)')"),
-    "search_path": ("path:asia/china order-1", None, 0, 0, 0, "contains(path_fold, 'asia/china') and contains(name_fold, 'order-1')"),
+    "search_path": ("path:asia/nation_2 order-1", None, 0, 0, 0, "contains(path_fold, 'asia/nation_2') and contains(name_fold, 'order-1')"),
     "search_prefix": ("order-12*", None, 0, 0, 0, "starts_with(name_fold, 'order-12')"),
     "search_suffix": ("*7.TXT", None, 0, 0, 0, "ends_with(name_fold, '7.txt')"),
-    "search_inner": ("*zz*", None, 0, 0, 0, "contains(name_fold, 'zz')"),
+    "search_inner": ("*ente*", None, 0, 0, 0, "contains(name_fold, 'ente')"),
     "search_wildcard": ("order-?1-*.md", None, 0, 0, 0, "regexp_matches(name, '(?is)^order-.1-.*\\.md$')"),
-    "search_path_wildcard": ("/w/*/china/*/*-99*.pdf", None, 0, 0, 0, "regexp_matches(path, '(?is)^/w/[^/]*/china/[^/]*/[^/]*-99[^/]*\\.pdf$')"),
+    "search_path_wildcard": ("/w/*/nation_1/*/*-99*.pdf", None, 0, 0, 0, "regexp_matches(path, '(?is)^/w/[^/]*/nation_1/[^/]*/[^/]*-99[^/]*\\.pdf$')"),
     "search_regex": ('regex:"^order-[0-9]{2}-.*7\\.(pdf|md)$"', None, 0, 0, 0, "regexp_matches(name, '(?i)^order-[0-9]{2}-.*7\\.(pdf|md)$')"),
     "search_regex_path": ('regex:"docs/(fr|de)/src1/"', None, 0, 0, 0, "regexp_matches(path, '(?i)docs/(fr|de)/src1/')"),
     "search_and_or_not": ("order-1 pdf | md !-10", None, 0, 0, 0, "contains(name_fold, 'order-1') and (contains(name_fold, 'pdf') or contains(name_fold, 'md')) and not contains(name_fold, '-10')"),
@@ -130,11 +127,11 @@ SEARCHES: dict[str, tuple] = {
     "filter_modified_day": ("dm:1995-03-15", None, 0, 0, 0, "modified between 795225600 and 795311999"),
     "filter_modified_month": ("dm:1996-02", None, 0, 0, 0, "modified between 823132800 and 825638399"),
     "filter_modified_range": ("dm:1996..1997-06-30", None, 0, 0, 0, "modified between 820454400 and 867715199"),
-    "filter_modified_after": ("dm:>2023-12-31 dm:<2024-02-01", None, 0, 0, 0, "modified >= 1704067200 and modified < 1706745600"),
+    "filter_modified_after": ("dm:>2023-11-20 dm:<2023-12-10", None, 0, 0, 0, "modified >= 1700524800 and modified < 1702166400"),
     "filter_modified_rolling": ("dm:last3months", None, 0, 0, 0, "modified between 1697371200 and 1705320000"),
-    "filter_created": ("dc:<1994", None, 0, 0, 0, "created < 757382400"),
+    "filter_created": ("dc:<1996", None, 0, 0, 0, "created < 820454400"),
     "filter_parent": ("parent:/w/web/", None, 0, 0, 0, "dir = '/w/web'"),
-    "filter_child": ("child:china", None, 0, 0, 0, "kind = 'folder' and path in (select dir from c where name_fold = 'china')"),
+    "filter_child": ("child:nation_1", None, 0, 0, 0, "kind = 'folder' and path in (select dir from c where name_fold = 'nation_1')"),
     "filter_empty": ("empty:", None, 0, 0, 0, "kind = 'folder' and path not in (select dir from c where dir is not null)"),
     "dupe_name": ("dupe:", None, 0, 0, 0, "name in (select name from c group by name having count(*) > 1)"),
     "dupe_size": ("dupe:size", None, 0, 0, 0, "kind = 'file' and size > 0 and size in (select size from c where kind = 'file' and size > 0 group by size having count(*) > 1)"),
@@ -154,7 +151,7 @@ SEARCHES: dict[str, tuple] = {
     "sort_path": ("docs/es", "path", False, 300, 0, "contains(path_fold, 'docs/es')"),
     "sort_size": ("", "size", True, 250, 0, "true"),
     "sort_modified": ("", "modified", False, 250, 0, "true"),
-    "sort_type": ("page | china | order-49", "type", False, 400, 0, "contains(name_fold, 'page') or contains(name_fold, 'china') or contains(name_fold, 'order-49')"),
+    "sort_type": ("page | nation_1 | order-49", "type", False, 400, 0, "contains(name_fold, 'page') or contains(name_fold, 'nation_1') or contains(name_fold, 'order-49')"),
     "sort_created": ("page | order-49", "created", False, 400, 0, "contains(name_fold, 'page') or contains(name_fold, 'order-49')"),
     "sort_items": ("folder:", "items", True, 250, 0, "kind = 'folder'"),
     "page_offset": ("pdf", "size", False, 50, 120, "contains(name_fold, 'pdf')"),
@@ -165,19 +162,39 @@ _FOLD = "lower(strip_accents(" + "replace(" * len(T.BASES) + "X" + "".join(f", '
 _NATURAL = "array_to_string(list_transform(regexp_extract_all(name_fold, '[0-9]+|[^0-9]+'), lambda x: case when regexp_matches(x, '^[0-9]') then (case when length(NZ) <= 8 then length(NZ)::varchar else '9' || chr(least(length(NZ), 255)::int) end) || NZ else x end), '')".replace("NZ", "(case when ltrim(x, '0') = '' then '0' else ltrim(x, '0') end)")
 
 
-def _sql(sql: str, later: bool = False) -> str:
-    """WITH clause that gives r (raw) and c (enriched)."""
-    base = _engine(LATER_SQL if later else RAW_SQL, True)
-    return f"""with r as materialized ({base}),
-p as (select *, case when instr(substr(path, 2), '/') = 0 then '/' else regexp_extract(path, '^(.*)/[^/]*$', 1) end dir, regexp_extract(path, '([^/]*)$', 1) name from r),
-up as (select unnest(list_prepend('/', list_transform(range(2, len(string_split(dir, '/')) + 1), lambda i: array_to_string(string_split(dir, '/')[1:i], '/')))) folder, kind, size from p),
-roll as (select folder, sum(case when kind = 'file' then size else 0 end)::bigint s, count(*)::bigint n from up group by folder),
-e as (select p.path, p.kind, case when kind = 'folder' then coalesce(s, 0) else size end size, modified, created, case when kind = 'folder' then coalesce(n, 0) else 0 end items, dir, name,
- {_FOLD.replace('X', 'name')} name_fold, {_FOLD.replace('X', 'path')} path_fold, lower(case when regexp_matches(name, '(?s)^.+[.]') then regexp_extract(name, '[.]([^.]*)$', 1) else '' end) ext,
- lower(case when contains(name, '.') then regexp_extract(name, '[.]([^.]*)$', 1) end) fext, replace(path, '/', chr(0)) path_key from p left join roll on roll.folder = p.path),
-ct as (select concat('/w/docs/',lang,'/',source,'/',doc_id::varchar,'/',replace(replace(substr(text,1,12),'/','_'),chr(10),' '),'.txt') path, text content from documents union all select concat('/w/web/page ', page_id::varchar, '.html'), html from pages),
-c as (select e.*, {_NATURAL} name_key, content from e left join ct on ct.path = e.path)
-{sql}"""
+#: A twin's derived columns: the SQL of each over p (a raw row with its folder and name).
+_DERIVED = {
+    "name_fold": _FOLD.replace("X", "name"),
+    "path_fold": _FOLD.replace("X", "path"),
+    "ext": "lower(case when regexp_matches(name, '(?s)^.+[.]') then regexp_extract(name, '[.]([^.]*)$', 1) else '' end)",
+    "fext": "lower(case when contains(name, '.') then regexp_extract(name, '[.]([^.]*)$', 1) end)",
+    "path_key": "replace(path, '/', chr(0))",
+}
+_UP = "unnest(list_prepend('/', list_transform(range(2, len(string_split(dir, '/')) + 1), lambda i: array_to_string(string_split(dir, '/')[1:i], '/')))) folder"
+
+
+def _sql(sql: str) -> str:
+    """sql with a WITH clause that gives r (raw) and c, which has only the derived columns that sql names."""
+    parts = [f"r as ({_engine(RAW_SQL, True)})"]
+    if re.search(r"\bc\b", sql):
+        used = set(re.findall(r"\w+", sql))
+        if "name_key" in used:
+            used |= {"name_fold"}
+        made = "".join(f", {x} {name}" for name, x in _DERIVED.items() if name in used)
+        parts.append("p as (select *, case when instr(substr(path, 2), '/') = 0 then '/' else regexp_extract(path, '^(.*)/[^/]*$', 1) end dir, regexp_extract(path, '([^/]*)$', 1) name from r)")
+        size, items, joined = "size", "0::bigint", ""
+        if used & {"size", "items"}:
+            parts.append("direct as (select dir, sum(case when kind = 'file' then size else 0 end) s, count(*) n from p group by dir)")
+            parts.append(f"roll as (select folder, sum(s)::bigint s, sum(n)::bigint n from (select {_UP}, s, n from direct) group by folder)")
+            size, items, joined = "case when kind = 'folder' then coalesce(s, 0) else size end", "case when kind = 'folder' then coalesce(n, 0) else 0 end", " left join roll on roll.folder = p.path"
+        parts.append(f"e as (select p.path, kind, {size} size, modified, created, {items} items, dir, name{made} from p{joined})")
+        more = f", {_NATURAL} name_key" if "name_key" in used else ""
+        if "content" in used:
+            parts.append("ct as (select concat('/w/docs/',lang,'/',source,'/',doc_id::varchar,'/',replace(replace(substr(text,1,12),'/','_'),chr(10),' '),'.txt') path, text content from documents union all select concat('/w/web/page ', page_id::varchar, '.html'), html from pages)")
+            parts.append(f"c as (select e.*{more}, content from e left join ct on ct.path = e.path)")
+        else:
+            parts.append(f"c as (select e.*{more} from e)")
+    return "with " + ",\n".join(parts) + "\n" + sql
 
 
 def _search_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -233,7 +250,7 @@ def dedup_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    return c.select(F.col("path_text").alias("path"), "name_fold", "name_key", "ext", T.filter_extension(F.col("name_text")).alias("fext"), F.col("raw_dir").isNull().alias("top"), T.filetime(F.col("modified")).alias("ticks"), T.local_time(F.col("modified")).alias("shown"), T.thousands(F.col("size")).alias("grouped"), T.type_label(F.col("kind"), F.col("ext")).alias("label"))
+    return c.select(F.col("path_text").alias("path"), "name_fold", "name_key", "ext", "fext", F.col("raw_dir").isNull().alias("top"), T.filetime(F.col("modified")).alias("ticks"), T.local_time(F.col("modified")).alias("shown"), T.thousands(F.col("size")).alias("grouped"), T.type_label(F.col("kind"), F.col("ext")).alias("label"))
 
 
 def _later(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -318,9 +335,9 @@ def filelist_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every entry as an item to rename, and the catalog they are in."""
     rows = raw(spark, sf_dir).withColumn("path", F.col("path").cast("string"))
-    items = rows.where("path LIKE '/w/web/%' OR path LIKE '/w/docs/en/src1/%'").select("path", (F.col("kind") == "folder").alias("folder"), "modified", F.col("modified").alias("ord"))
-    return items, rows
+    return rows.select("path", (F.col("kind") == "folder").alias("folder"), "modified", F.col("modified").alias("ord")), rows
 
 
 def rename_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,13 +345,11 @@ def rename_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rename_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, rows = _items(spark, sf_dir)
-    return N.patterned(items.where("path LIKE '/w/web/%'").withColumn("ord", F.col("modified") - 1710000000), rows, "[P]-[C]_[N] [D].[E]", start=5, step=2, digits=4)
+    return N.patterned(*_items(spark, sf_dir), "[P]-[C]_[N] [D].[E]", start=5, step=2, digits=4)
 
 
 def rename_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, rows = _items(spark, sf_dir)
-    return N.replaced(items.where("path LIKE '/w/web/page 1%'"), rows, "^page 1", "page ", regex=True)
+    return N.replaced(*_items(spark, sf_dir), "^(page|order-) ?1", "$1 ", regex=True)
 
 
 OWN = (launcher_rank, folder_size_rollup, folder_item_count, catalog_totals, search_total, selection_summary, dedup_by_path, scalar_functions, snapshot_diff, move_pairs, moved_children_suppressed, reconcile_targets, reconcile_apply, stream_reconcile, index_rules, efu_export_lines, csv_export_lines, efu_map, filelist_records, rename_replace, rename_pattern, rename_conflicts)
@@ -344,7 +359,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _search_query(name) for name in SEARCHES} | {f.__name__: f for f in OWN}
 
 
-_TWO = _sql("", False).rstrip() + ", r2 as (" + _engine(LATER_SQL, True) + "), u2 as (select unnest(list_prepend('/', list_transform(range(2, len(string_split(d, '/')) + 1), lambda i: array_to_string(string_split(d, '/')[1:i], '/')))) folder, kind, size from (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) d from r2)), roll2 as (select folder, sum(case when kind = 'file' then size else 0 end)::bigint s from u2 group by folder), n2 as (select path, kind, case when kind = 'folder' then coalesce(s, 0) else size end size, modified, created from r2 left join roll2 on folder = path), d as (select case when o.path is null then 'created' when n.path is null then 'deleted' else 'modified' end action, coalesce(n.kind, o.kind) kind, coalesce(n.path, o.path) path, coalesce(n.size, o.size) size, coalesce(n.modified, o.modified) modified, coalesce(n.created, o.created) created from c o full join n2 n on o.path = n.path where o.path is null or n.path is null or (n.kind = 'file' and (o.size <> n.size or o.modified <> n.modified)))"
+_TWO = ", r2 as (" + _engine(LATER_SQL, True) + "), u2 as (select unnest(list_prepend('/', list_transform(range(2, len(string_split(d, '/')) + 1), lambda i: array_to_string(string_split(d, '/')[1:i], '/')))) folder, kind, size from (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) d from r2)), roll2 as (select folder, sum(case when kind = 'file' then size else 0 end)::bigint s from u2 group by folder), n2 as (select path, kind, case when kind = 'folder' then coalesce(s, 0) else size end size, modified, created from r2 left join roll2 on folder = path), d as (select case when o.path is null then 'created' when n.path is null then 'deleted' else 'modified' end action, coalesce(n.kind, o.kind) kind, coalesce(n.path, o.path) path, coalesce(n.size, o.size) size, coalesce(n.modified, o.modified) modified, coalesce(n.created, o.created) created from c o full join n2 n on o.path = n.path where o.path is null or n.path is null or (n.kind = 'file' and (o.size <> n.size or o.modified <> n.modified)))"
 _MOVED = _TWO + """, x as (select *, regexp_extract(path, '([^/]*)$', 1) nm, regexp_extract(path, '^(.*)/[^/]*$', 1) dr, coalesce(created, -1) cr, replace(path, '/', chr(0)) pk from d),
 g1 as (select *, row_number() over (partition by kind, size, modified, cr, nm order by pk) k from x where action = 'deleted'), m1 as (select *, row_number() over (partition by kind, size, modified, cr, nm order by pk) k from x where action = 'created'),
 p1 as (select g1.kind, g1.path, m1.path t, g1.size from g1 join m1 using (kind, size, modified, cr, nm, k) where not (m1.path = g1.path or starts_with(m1.path, g1.path || '/'))),
@@ -355,12 +370,11 @@ f as (select path, t from mv where kind = 'folder')
 select action, kind, path, "to", size, case when action = 'moved' and regexp_extract(path, '^(.*)/', 1) = regexp_extract("to", '^(.*)/', 1) then 'Renamed' else upper(action[1]) || action[2:] end as label from al
 where not exists (select 1 from f where (al.action in ('deleted', 'moved') and starts_with(al.path, f.path || '/')) or (al.action = 'created' and starts_with(al.path, f.t || '/')))"""
 _TARGETS = "t0 as (select '/w/' || r_name || '/' || n_name path from nation join region on n_regionkey = r_regionkey where n_nationkey % 3 = 0 union all select '/w/ASIA'), t as (select path from t0 where not exists (select 1 from t0 o where starts_with(t0.path, o.path || '/')))"
-_ITEMS = "i as (select *, regexp_extract(path, '([^/]*)$', 1) nm, regexp_extract(path, '^(.*)/[^/]*$', 1) dr from r where {where}), s as (select *, case when kind <> 'folder' and regexp_matches(nm, '^.+[.]') then regexp_extract(nm, '^(.+)[.][^.]*$', 1) else nm end st, case when kind <> 'folder' and regexp_matches(nm, '^.+[.]') then regexp_extract(nm, '^.+([.][^.]*)$', 1) else '' end kept from i), n as (select path f, dr || '/' || {stem} || kept t, {stem} || kept nn from s), k as (select f, t, case when nn in ('', '.', '..') then 'The new name is empty' when count(*) over (partition by t) > 1 then 'Another item would get the same name' when f <> t and t in (select path from r) and t not in (select f from n where f <> t) then 'A file with this name already exists' end problem from n) select f as \"from\", t as \"to\", problem from k"
-_WEB = "path like '/w/web/%' or path like '/w/docs/en/src1/%'"
+_ITEMS = "i as (select *, regexp_extract(path, '([^/]*)$', 1) nm, regexp_extract(path, '^(.*)/[^/]*$', 1) dr from r), s as (select *, case when kind <> 'folder' and regexp_matches(nm, '^.+[.]') then regexp_extract(nm, '^(.+)[.][^.]*$', 1) else nm end st, case when kind <> 'folder' and regexp_matches(nm, '^.+[.]') then regexp_extract(nm, '^.+([.][^.]*)$', 1) else '' end kept from i), n as (select path f, dr || '/' || {stem} || kept t, {stem} || kept nn from s), k as (select f, t, case when nn in ('', '.', '..') then 'The new name is empty' when count(*) over (partition by t) > 1 then 'Another item would get the same name' when f <> t and t in (select path from r) and t not in (select f from n where f <> t) then 'A file with this name already exists' end problem from n) select f as \"from\", t as \"to\", problem from k"
 
 
 def oracle_sql() -> dict[str, str]:
-    plain = lambda where, stem: _engine(f"with r as ({RAW_SQL}), ", True) + _ITEMS.replace("{where}", where).replace("{stem}", stem)
+    plain = lambda stem: _engine(f"with r as ({RAW_SQL}), ", True) + _ITEMS.replace("{stem}", stem)
     out = {name: _search_sql(name) for name in SEARCHES}
     out["launcher_rank"] = _sql("select path, place, round(0.9 - 0.4 * ((place - 1) / (count(*) over ())), 6) relevance, case when name_fold = 'order-3' then 100 else 30 end::bigint as match from (select path, name_fold, row_number() over (order by not starts_with(name_fold, 'order-3'), regexp_matches(path, '(^|/)[.]'), rank) place from (select *, row_number() over (order by modified desc, path_key desc) rank from c where contains(name_fold, 'order-3') and contains(name_fold, 'pdf') qualify rank <= 300) qualify place <= 20)")
     out["folder_size_rollup"] = _sql("select path, size from c where kind = 'folder'")
@@ -370,9 +384,9 @@ def oracle_sql() -> dict[str, str]:
     out["selection_summary"] = _sql("select count(*) selected, sum(size) filter (kind in ('file', 'folder'))::bigint bytes from c where dir in ('/w/web', '/w/docs')")
     out["dedup_by_path"] = _sql("select path, kind, min(size) size from (select path, kind, size from r union all select path, kind, size + 1 from r where kind = 'file') group by path, kind")
     out["scalar_functions"] = _sql("select path, name_fold, name_key, ext, fext, false top, (modified + 11644473600) * 10000000 ticks, strftime(make_timestamp(modified * 1000000), '%Y-%m-%d %H:%M') shown, format('{:,}', size) grouped, case kind when 'folder' then 'Folder' when 'link' then 'Link' else case when ext = '' then 'File' else upper(ext) || ' file' end end as label from c")
-    out["snapshot_diff"] = _TWO + " select action, kind, path, size from d"
-    out["moved_children_suppressed"] = _MOVED
-    out["move_pairs"] = f"select * from ({_MOVED}) where action = 'moved'"
+    out["snapshot_diff"] = _sql(_TWO + " select action, kind, path, size from d")
+    out["moved_children_suppressed"] = _sql(_MOVED)
+    out["move_pairs"] = f"select * from ({_sql(_MOVED)}) where action = 'moved'"
     out["reconcile_targets"] = f"with {_TARGETS} select path from t"
     out["reconcile_apply"] = _engine(f"with r as ({RAW_SQL}), r2 as ({LATER_SQL}), {_TARGETS} select path, kind, size, modified, created from r where not exists (select 1 from t where r.path = t.path or starts_with(r.path, t.path || '/')) union all select path, kind, size, modified, created from r2 where exists (select 1 from t where r2.path = t.path or starts_with(r2.path, t.path || '/'))", True)
     out["stream_reconcile"] = "select '/w/stream/' || user_id || '/' || event_type || '-' || event_id path, 'file' kind, event_id::bigint size, cast(floor(epoch(ts)) as bigint) modified from events"
@@ -383,7 +397,7 @@ def oracle_sql() -> dict[str, str]:
     out["csv_export_lines"] = _sql(f"select {quote('name')} || ',' || {quote('path')} || ',' || case when kind in ('file', 'folder') then size::varchar else '' end || ',' || {stamp('modified')} || ',' || coalesce({stamp('created')}, '') || ',' || case kind when 'folder' then 'Folder' when 'link' then 'Link' else upper(ext) || ' file' end line from c where contains(name_fold, 'page') or contains(path_fold, 'docs/es')")
     out["efu_map"] = _sql("select '/mnt/list' || path[8:] mapped from r where lower(path) = '/w/asia' or starts_with(lower(path), '/w/asia/')")
     out["filelist_records"] = "select 'C:\\d\\' || o_orderkey path, o_orderkey % 7 = 0 or o_orderkey % 11 = 0 folder, case when o_orderkey % 5 = 0 then 0 else o_custkey end::bigint size, cast(epoch(o_orderdate) as bigint) modified from orders"
-    out["rename_replace"] = plain(_WEB, "regexp_replace(st, '(?i)page ', 'p$', 'g')")
-    out["rename_pattern"] = plain("path like '/w/web/%'", "'web-' || lpad((5 + 2 * (modified - 1710000000))::varchar, 4, '0') || '_' || st || ' ' || strftime(make_timestamp(modified * 1000000), '%Y-%m-%d') || '.' || kept[2:]")
-    out["rename_conflicts"] = plain("path like '/w/web/page 1%'", "regexp_replace(st, '(?i)^page 1', 'page ')")
+    out["rename_replace"] = plain("regexp_replace(st, '(?i)page ', 'p$', 'g')")
+    out["rename_pattern"] = plain("regexp_extract(dr, '([^/]*)$', 1) || '-' || case when 5 + 2 * modified < 1000 then lpad((5 + 2 * modified)::varchar, 4, '0') else (5 + 2 * modified)::varchar end || '_' || st || ' ' || strftime(make_timestamp(modified * 1000000), '%Y-%m-%d') || '.' || kept[2:]")
+    out["rename_conflicts"] = plain("regexp_replace(st, '(?i)^(page|order-) ?1', '\\1 ')")
     return out
