@@ -196,3 +196,10 @@ def changed_case(text: str, how: str) -> str:
 def invalid_name(name: Column) -> Column:
     """Why a name can't be a file's, or null."""
     return F.when(name.isin("", ".", ".."), "The new name is empty").when(name.contains("/") | name.contains("\0"), "A name cannot contain “/”").when(F.octet_length(name) > 255, "The new name is too long")
+
+
+def location(path: Column, home: str) -> Column:
+    """The folder a path (text) is in, the home folder written ~."""
+    parent = F.coalesce(parent_of(path), F.lit(""))
+    inside = F.lit(bool(home)) & ((parent == home) | parent.startswith(home.rstrip("/") + "/"))
+    return F.when(inside, F.concat(F.lit("~"), F.substring(parent, F.lit(len(home.rstrip("/")) + 1), F.length(parent)))).otherwise(parent)

@@ -48,14 +48,44 @@ def differences(old: DataFrame, new: DataFrame, targets: DataFrame | None = None
     return both.select("path", F.explode(events).alias("e")).select("e.action", "e.kind", "path", "e.size", "e.modified", "e.created")
 
 
+_KEYS = ["kind", "size", "modified", "_c"]
+
+
 def _paired(gone: DataFrame, made: DataFrame, by: str) -> DataFrame:
-    """One-to-one pairs of equal entries in path order. The k-th deletion of a key takes the k-th creation."""
-    keys = ["kind", "size", "modified", "_c", by]
+    """One-to-one pairs of equal entries: each deletion in path order takes the first creation left that isn't inside it.
+
+    Where no creation of a key lies inside a deletion of it, that is the k-th with the k-th. Keys of folders
+    that were moved into one another are matched one deletion after the other.
+    """
+    from .catalog import _ancestors
+
+    keys = [*_KEYS, by]
     w = Window.partitionBy(*keys).orderBy("path_key")
-    a = gone.withColumn("_n", F.row_number().over(w))
-    b = made.withColumn("_n", F.row_number().over(w)).select(*keys, "_n", F.col("path").alias("to"), F.col("raw").alias("to_raw"))
-    pairs = a.join(b, [*keys, "_n"])
-    return pairs.where(~T.within(F.col("to_raw"), F.col("raw"))).select(*gone.columns, "to", "to_raw")
+    b = made.select(*keys, "path_key", F.col("path").alias("to"), F.col("raw").alias("to_raw"))
+    up = b.where("kind = 'folder'").select(*keys, F.explode(F.concat(_ancestors(T.parent_of(F.col("to_raw"))), F.array("to_raw"))).alias("raw"))
+    odd = staged(up.join(gone.select(*keys, "raw"), [*keys, "raw"], "left_semi").select(*keys).distinct(), "odd-keys")
+    shape = gone.select("*", F.col("path").alias("to"), F.col("raw").alias("to_raw"))
+    columns = shape.columns
+    ranked = lambda x: x.join(odd, keys, "left_anti").withColumn("_n", F.row_number().over(w))
+    usual = ranked(gone).join(ranked(b).drop("path_key"), [*keys, "_n"]).select(*columns)
+
+    if odd.isEmpty():
+        return usual
+
+    def match(group):
+        import pandas as pd
+
+        group = group.sort_values("path_key")
+        free, rows = group[group["_made"]].to_dict("records"), []
+        for row in group[~group["_made"]].to_dict("records"):
+            at = next((i for i, x in enumerate(free) if not (x["raw"] + "/").startswith(row["raw"].rstrip("/") + "/")), None)
+            if at is not None:
+                new = free.pop(at)
+                rows.append(row | {"to": new["path"], "to_raw": new["raw"]})
+        return pd.DataFrame(rows, columns=columns)
+
+    both = gone.withColumn("_made", F.lit(False)).unionByName(made.withColumn("_made", F.lit(True)))
+    return usual.unionByName(both.join(odd, keys, "left_semi").groupBy(*keys).applyInPandas(match, shape.schema))
 
 
 def paired(changes: DataFrame) -> DataFrame:

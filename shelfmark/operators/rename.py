@@ -56,5 +56,8 @@ def patterned(items: DataFrame, catalog: DataFrame, template: str, *, start: int
 
 def cased(items: DataFrame, catalog: DataFrame, how: str, *, extension: bool = False) -> DataFrame:
     """how: lower, upper, title or sentence."""
-    change = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else T.changed_case(x, how)), "string")
-    return _planned(_parts(items, extension), change("_stem"), catalog)
+    if how in ("lower", "upper"):
+        new = getattr(F, how)(F.col("_stem"))
+    else:
+        new = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else T.changed_case(x, how)), "string")("_stem")
+    return _planned(_parts(items, extension), new, catalog)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass, replace
 
@@ -13,6 +14,7 @@ from shelfmark.functions import text as T
 #: Snapshot and system image folders.
 SNAPSHOT_PATHS = ("/snap", "/nix/store", "/var/lib/flatpak/repo")
 SNAPSHOT_FOLDERS = (".snapshots", ".zfs", "timeshift/snapshots", "timeshift-btrfs/snapshots", ".local/share/containers/storage", ".local/share/flatpak/repo")
+MOST_ROOTS, MOST_TYPES = 256, 1024
 PSEUDO = ("/proc", "/sys", "/dev", "/run")
 
 
@@ -26,17 +28,50 @@ class Rules:
     excluded_types: tuple[str, ...] = ()
     excluded_files: tuple[str, ...] = ()
     included_files: tuple[str, ...] = ()
+    own: tuple[str, ...] = ()  # the engine's own folders
 
     def checked(self) -> Rules:
-        """These rules with roots in order, none inside another; ValueError where they can't be used."""
-        if len(self.roots) > 256:
-            raise ValueError("Too many roots")
+        """These rules with roots in order, none inside another, and types with their dot; ValueError where they can't be used."""
+        if len(self.roots) > MOST_ROOTS:
+            raise ValueError(f"At most {MOST_ROOTS} roots can be indexed")
+        if len(self.excluded_types) > MOST_TYPES:
+            raise ValueError(f"At most {MOST_TYPES} file types can be excluded")
+        for folder in (*self.roots, *self.excluded_folders, *self.included_folders):
+            if not folder.startswith("/") or "\0" in folder or {".", ".."} & set(folder.split("/")):
+                raise ValueError(f"Not an absolute folder without . and ..: {folder}")
         roots = [r.rstrip("/") or "/" for r in sorted(set(self.roots))]
-        if any(not r.startswith("/") or any(r == p or r.startswith(p + "/") for p in PSEUDO) for r in roots):
-            raise ValueError("A root is not an absolute folder, or lies in a pseudo file system")
-        kept = [r for r in roots if not any(r != o and (o == "/" or r.startswith(o + "/")) for o in roots)]
-        types = tuple("." + t.lower().lstrip("*").lstrip(".") for t in self.excluded_types)
-        return replace(self, roots=tuple(dict.fromkeys(kept)), excluded_types=types)
+        if any(_inside(r, p) for r in roots for p in PSEUDO):
+            raise ValueError("A root lies in a pseudo file system")
+        kept = [r for r in roots if not any(r != o and _inside(r, o) for o in roots)]
+        types = [file_type(t) for t in self.excluded_types]
+        if None in types:
+            raise ValueError("Not a file type: " + self.excluded_types[types.index(None)])
+        for g in (*self.excluded_files, *self.included_files):
+            re.compile(glob_regex(g).replace(r"\z", r"\Z"))
+        return replace(self, roots=tuple(dict.fromkeys(kept)), excluded_types=tuple("." + t for t in types))
+
+
+def _inside(path: str, folder: str) -> bool:
+    return folder == "/" or path == folder or path.startswith(folder + "/")
+
+
+def file_type(text: str) -> str | None:
+    """An excluded file type as it is kept: lower-cased, without * and the first dot; None if it can't be one."""
+    t = text.strip().lower()
+    t = t.removeprefix("*").removeprefix(".")
+    bad = not t or len(t) > 64 or t[0] == "." or t[-1] == "." or ".." in t or re.search(r"[\s/\0*?\[\];]", t)
+    return None if bad else t
+
+
+def normalized_roots(paths: list[str]) -> list[str]:
+    """Folders on this machine without links and without those inside others; ValueError where one can't be a root."""
+    found = sorted({os.path.realpath(p, strict=True) for p in paths})
+    for p in found:
+        if not os.path.isdir(p):
+            raise ValueError(f"Not a folder: {p}")
+    if not found:
+        raise ValueError("There is no root")
+    return list(Rules(roots=tuple(found)).checked().roots)
 
 
 def glob_regex(glob: str) -> str:
@@ -74,18 +109,33 @@ def below_root(path: Column, roots: tuple[str, ...]) -> Column:
     return out
 
 
-def kept(scanned: DataFrame, rules: Rules) -> DataFrame:
-    """Rows of a scan (path string, kind) that the rules list: exclusions hold for all below them, exceptions win, globs and types are for files."""
-    rules = rules.checked()
-    path, relative = F.col("path"), below_root(F.col("path"), rules.roots)
-    name = F.regexp_extract(path, "(?s)([^/]*)$", 1)
-    exception = _any([T.within(path, e) for e in rules.included_folders])
+def _shut_out(path: Column, rules: Rules) -> tuple[Column, Column]:
+    """(the path is or lies in an excluded folder that no exception opens, it never is listed) for checked rules."""
+    relative = below_root(path, rules.roots)
     excluded = [T.within(path, e) for e in rules.excluded_folders]
     if rules.exclude_hidden:
         excluded.append(relative.rlike(r"(^|/)[.]"))
     if rules.exclude_snapshots:
-        excluded += [T.within(path, p) for p in SNAPSHOT_PATHS if not any(r == p or r.startswith(p + "/") for r in rules.roots)]
+        excluded += [T.within(path, p) for p in SNAPSHOT_PATHS if not any(_inside(r, p) for r in rules.roots)]
         excluded.append(relative.rlike("(^|/)(" + "|".join(map(re.escape, SNAPSHOT_FOLDERS)) + ")(/|$)"))
+    exception = _any([T.within(path, e) for e in rules.included_folders])
+    return _any(excluded) & ~exception, _any([T.within(path, p) for p in (*PSEUDO, *rules.own)])
+
+
+def entered(path: Column, rules: Rules) -> Column:
+    """A scan goes into this folder: no rule shuts it out, or an exception lies below it."""
+    rules = rules.checked()
+    shut, never = _shut_out(path, rules)
+    leads = _any([F.lit(e).startswith(F.concat(path, F.lit("/"))) for e in rules.included_folders])
+    return (~shut | leads) & ~never
+
+
+def kept(scanned: DataFrame, rules: Rules) -> DataFrame:
+    """Rows of a scan (path string, kind) that the rules list: exclusions hold for all below them, exceptions win, globs and types are for files."""
+    rules = rules.checked()
+    path, relative = F.col("path"), below_root(F.col("path"), rules.roots)
+    name = F.regexp_extract(path, "(?s)([^/]*)$", 1)
+    shut, never = _shut_out(path, rules)
     lower = T.ascii_lower(name)
     typed = _any([lower.endswith(t) & (F.length(name) > len(t)) for t in rules.excluded_types])
     match = lambda globs: _any([name.rlike(glob_regex(g)) | relative.rlike(glob_regex(g)) for g in globs])
@@ -93,7 +143,7 @@ def kept(scanned: DataFrame, rules: Rules) -> DataFrame:
     unwanted = file & (typed | match(rules.excluded_files))
     if rules.included_files:
         unwanted = unwanted | (file & ~match(rules.included_files))
-    return scanned.where(_any([T.within(path, r) for r in rules.roots]) & ~_any([T.within(path, p) for p in PSEUDO]) & (exception | ~_any(excluded)) & ~unwanted)
+    return scanned.where(_any([T.within(path, r) for r in rules.roots]) & ~never & ~shut & ~unwanted)
 
 
 def added_paths(old: Rules, new: Rules) -> list[str] | None:
@@ -103,3 +153,9 @@ def added_paths(old: Rules, new: Rules) -> list[str] | None:
     if not same or any(set(getattr(old, f)) - set(getattr(new, f)) for f in fields):
         return None
     return sorted({p for f in fields for p in set(getattr(new, f)) - set(getattr(old, f))})
+
+
+def excluding(rules: Rules, paths: list[str]) -> Rules:
+    """The rules with selected folders excluded too, those inside others left out."""
+    folders = sorted({*rules.excluded_folders, *(p.rstrip("/") for p in paths)})
+    return replace(rules, excluded_folders=tuple(f for f in folders if not any(f != o and _inside(f, o) for o in folders)))

@@ -75,9 +75,10 @@ def _leaf(t) -> Column | None:
 
 
 class Compiler:
-    """content: a table (path binary, content binary or string) for content: and dupe:content."""
+    """content: for content: and dupe:content, a table (path binary, content binary or string), or an object that reads
+    contents(rows, most) and digests(rows, size), as sources.files.Contents does."""
 
-    def __init__(self, catalog: DataFrame, content: DataFrame | None = None):
+    def __init__(self, catalog: DataFrame, content=None):
         self.catalog, self.content = catalog, content
 
     def rows(self, tree, scope: DataFrame | None = None) -> DataFrame:
@@ -131,14 +132,28 @@ class Compiler:
         return self._flag(self.rows(t).select("path"), flags)
 
     def _contents(self, df: DataFrame) -> DataFrame:
+        """df's files with their contents, of those that content: reads."""
         if self.content is None:
             raise L.QueryError("No file contents are at hand")
-        return df.where("kind = 'file'").join(self.content.select("path", F.col("content").cast("binary").alias("_content")), "path")
+        df = df.where("kind = 'file'")
+        read = self.content if isinstance(self.content, DataFrame) else self.content.contents(df, MOST_CONTENT)
+        return df.join(read.select("path", F.col("content").cast("binary").alias("_content")), "path").where(F.octet_length("_content") <= MOST_CONTENT)
+
+    def _digested(self, df: DataFrame, name: str, size: int | None) -> DataFrame:
+        """df with the digest of the first `size` bytes of each file, or of the whole file."""
+        if self.content is None:
+            raise L.QueryError("No file contents are at hand")
+        if isinstance(self.content, DataFrame):
+            data = F.col("content").cast("binary")
+            read = self.content.join(df.select("path"), "path", "left_semi").select("path", F.sha2(data if size is None else F.substring(data, 1, size), 256).alias(name))
+        else:
+            read = self.content.digests(df, size).withColumnRenamed("digest", name)
+        return df.join(read, "path")
 
     def _slow(self, t, df: DataFrame) -> DataFrame:
         names = df.columns
         if isinstance(t, L.Content):
-            found = self._contents(df).where((F.octet_length("_content") <= MOST_CONTENT))
+            found = self._contents(df)
             if t.case:
                 hit = F.contains(F.col("_content"), F.lit(t.needle.encode()))
             else:
@@ -150,10 +165,9 @@ class Compiler:
         df = self._shared(df, keys)
         if "content" not in t.by:
             return df
-        df = self._contents(df).withColumn("_head", F.sha2(F.substring("_content", 1, HEAD), 256))
-        df = self._shared(df, [*keys, "_head"])
-        df = self._shared(df.withColumn("_whole", F.when(F.octet_length("_content") <= HEAD, F.col("_head")).otherwise(F.sha2("_content", 256))), [*keys, "_whole"])
-        return df.select(*names)
+        df = self._shared(self._digested(df, "_head", HEAD), [*keys, "_head"])
+        short = df.where(F.col("size") <= HEAD).select(*names)
+        return short.unionByName(self._shared(self._digested(df.where(F.col("size") > HEAD), "_whole", None), [*keys, "_head", "_whole"]).select(*names))
 
     @staticmethod
     def _shared(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,5 +176,5 @@ class Compiler:
         return df.join(again, keys, "left_semi").select(*df.columns)
 
 
-def compile_query(text: str, catalog: DataFrame, content: DataFrame | None = None, **clock) -> DataFrame:
+def compile_query(text: str, catalog: DataFrame, content=None, **clock) -> DataFrame:
     return Compiler(catalog, content).rows(L.parse(text, **clock))

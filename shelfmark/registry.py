@@ -299,10 +299,9 @@ def stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     files = table.select(path.alias("path"), F.lit("file").alias("kind"), F.col("event_id").cast("long").alias("size"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("modified"), F.lit(None).cast("long").alias("created"))
-    store = sinks.Generations(spark, root)
-    query = live.reconcile_stream(stream.select(path.alias("path"), F.lit(False).alias("overflow")), store, lambda t: D.covered(files, t), f"{root}/checkpoint", roots=["/w"], trigger={"availableNow": True})
-    query.awaitTermination()
-    return store.load(live.RAW).select(F.col("path").cast("string").alias("path"), "kind", "size", "modified")
+    live_ = live.Live(sinks.Generations(spark, root), lambda t: D.covered(files, t), ["/w"])
+    live_.start(stream.select(path.alias("path"), F.lit(False).alias("overflow")), f"{root}/checkpoint", {"availableNow": True}).awaitTermination()
+    return live_.store.load().select(F.col("path").cast("string").alias("path"), "kind", "size", "modified")
 
 
 RULES = X.Rules(roots=("/w",), excluded_folders=("/w/EUROPE", "/w/docs/fr"), included_folders=("/w/EUROPE/FRANCE",), exclude_hidden=True, excluded_types=("md",), excluded_files=("order-1*",))

@@ -73,7 +73,8 @@ class _Walk(DataSourceReader):
         return out
 
     def read(self, partition):
-        yield from walk(partition.path, partition.depth)
+        if partition is not None:  # there is no root
+            yield from walk(partition.path, partition.depth)
 
 
 class FileWalk(DataSource):
@@ -99,18 +100,53 @@ def _read(batches):
     import pyarrow as pa
 
     for batch in batches:
-        found = []
         for path in batch["path"].to_pylist():
             try:
                 with open(path, "rb") as f:
-                    data = f.read((16 << 20) + 1)
-                found.append((path, data))
+                    data = f.read()
             except OSError:
                 continue
-        if found:
-            yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in found], pa.binary()), "content": pa.array([d for _, d in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.binary()), "content": pa.array([data], pa.binary())})
 
 
 def contents(files, most: int = 16 << 20):
-    """(path, content) of the files of a catalog that can be read and are no larger than `most`."""
+    """(path, content) of the files of a catalog that can be read and are no larger than `most`, as content: needs them."""
     return files.where((files.kind == "file") & (files["size"] <= most)).select("path").mapInArrow(_read, "path binary, content binary")
+
+
+def _digests(size: int | None):
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for path in batch["path"].to_pylist():
+                try:
+                    with open(path, "rb") as f:
+                        if size is not None:
+                            found.append((path, hashlib.sha256(f.read(size)).hexdigest()))
+                        else:
+                            found.append((path, hashlib.file_digest(f, "sha256").hexdigest()))
+                except OSError:
+                    continue
+            if found:
+                yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in found], pa.binary()), "digest": pa.array([d for _, d in found])})
+
+    return run
+
+
+def digests(files, size: int | None = None):
+    """(path, digest) of the first `size` bytes of files, or of whole files of any size, read as streams."""
+    return files.where(files.kind == "file").select("path").mapInArrow(_digests(size), "path binary, digest string")
+
+
+class Contents:
+    """What content: and dupe:content read of files that executors can open: only of the rows that are left."""
+
+    def contents(self, rows, most: int):
+        return contents(rows, most)
+
+    def digests(self, rows, size: int | None):
+        return digests(rows, size)
