@@ -11,13 +11,15 @@ Edge cases. Fewer words than a shingle: the whole sequence is the shingle. No wo
 text: fingerprint zero, linked like any other. Repeated rows share a component. A null id never
 becomes a component id unless its component has no other. Other columns are ignored.
 
-similar_components() serves the rule "Jaccard similarity of five-word shingles of 0.8 or more", for which
-SimHash can't: texts that similar differ in 4 to 14 of 64 bits, so pigeonhole blocks would be of four bits.
-Its fingerprint holds smallest hashes instead: 16 blocks of four minima over all shingles (a pair at 0.8 shares
-none with probability 0.0002) and 512 lanes, each a byte of the smallest hash that falls into it, from which
-the similarity is estimated (standard error at most 0.018, less for texts of under 512 shingles). The estimate
-only prunes: pairs within MARGIN of the rule (over five standard errors) are decided by their shingle sets.
-Blocks that many fingerprints share are worked off in chunks that all meet; see _shrink.
+similar_components() serves the rule "five-word shingles, similarity of 0.8 or more". The similarity that SimHash
+estimates is the cosine of the shingle sets (the share of equal bits is 1 less their angle over pi), so that is what
+is asked for: 0.8 or more, a Jaccard similarity of two thirds for sets of one size. SimHash groups, of sets within three
+bits, are found first and as above. Texts at 0.8 differ in 13 of 64 bits, though, and pigeonhole blocks for these
+would be of four bits. So texts at three bits or fewer are joined by SimHash, and for the others the same three steps (blocks,
+join, verification) are taken with smallest hashes: 24 blocks of three minima over all shingles (a pair at 0.8
+shares none with probability 0.0002) and 512 lanes, each a byte of the smallest hash that falls into it, from which
+the similarity is estimated (standard error at most 0.016). The estimate only prunes: pairs within MARGIN of the rule are
+decided by their whole shingle sets. Blocks that many fingerprints share are worked off in chunks that all meet; see _shrink.
 """
 
 from __future__ import annotations
@@ -53,7 +55,11 @@ def shingle_hashes(text: bytes, shingle: int = 5) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = 5) -> int:
     """64 bits, each 1 if it is set in over half the shingles' XXH64 (seed 42)."""
-    h = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if len(h) < 2:
         return int(h[0]) if len(h) else 0
     groups = np.arange(0, len(h), 255)
@@ -158,9 +164,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 #: Blocks of the similarity fingerprint, minima in a block, and lanes.
-BLOCKS, ROWS, LANES = 16, 4, 512
+BLOCKS, ROWS, LANES = 24, 3, 512
 #: Estimates this far from the rule decide a pair, if so many lanes are in use; with fewer none links and SMALL_MARGIN dismisses.
-MARGIN, LEAST_LANES, SMALL_MARGIN = 0.1, 64, 0.3
+MARGIN, LEAST_LANES, SMALL_MARGIN = 0.08, 64, 0.3
 #: Most bytes of shingle sets in a part of a group that is decided by them; two parts meet at a time.
 PART = 16 << 20
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"factor %d" % i) | 1 for i in range(BLOCKS * ROWS)], np.uint64)
@@ -174,38 +180,44 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return lanes
 
 
-def minima(text: bytes, shingle: int = 5) -> tuple[int, list[int], bytes, int]:
-    """(fingerprint of the shingle set, its blocks' keys, its lanes, its size)."""
+def minima(text: bytes, shingle: int = 5) -> tuple[int, list[int], bytes, int, int]:
+    """(fingerprint of the shingle set, its blocks' keys, its lanes, its size, its SimHash)."""
     h = np.unique(shingle_hashes(text, shingle))
     if not len(h):
-        return 0, [0] * BLOCKS, bytes(LANES), 0
+        return 0, [0] * BLOCKS, bytes(LANES), 0, 0
     low = np.array([(h * f).min() for f in _FACTORS], np.uint64).astype("<u8").tobytes()
     keys = [xxhash.xxh64_intdigest(low[8 * ROWS * b : 8 * ROWS * (b + 1)], b) for b in range(BLOCKS)]
-    return xxhash.xxh64_intdigest(h.tobytes(), 0), keys, sketch(h).tobytes(), len(h)
+    return xxhash.xxh64_intdigest(h.tobytes(), 0), keys, sketch(h).tobytes(), len(h), majority(h)
 
 
 def _with_minima(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [minima(b, shingle) for b in batch["_b"].to_pylist()]
-            prints = np.array([x[0] for x in found], np.uint64).view(np.int64)
+            prints, simhashes = (np.array([x[i] for x in found], np.uint64).view(np.int64) for i in (0, 4))
             keys = np.array([x[1] for x in found], np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BLOCKS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(prints), lists, pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.int32())], names=[id_col, "fp", "keys", "lanes", "size"])
+            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(prints), lists, pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.int32()), pa.array(simhashes)], names=[id_col, "fp", "keys", "lanes", "size", "simhash"])
 
     source = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_b"))
-    return source.mapInArrow(run, docs.select(id_col).withColumns({"fp": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long")), "lanes": F.lit(b""), "size": F.lit(0)}).schema)
+    return source.mapInArrow(run, docs.select(id_col).withColumns({"fp": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long")), "lanes": F.lit(b""), "size": F.lit(0), "simhash": F.lit(0).cast("long")}).schema)
+
 
+def _cosine(both: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """Cosine of sets of given sizes with `both` members in common."""
+    return both / np.maximum(np.sqrt(sizes.astype(np.float64) * size), 1e-9)
 
-def _estimates(others: np.ndarray, lanes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _estimates(others: np.ndarray, sizes: np.ndarray, lanes: np.ndarray, size: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Estimated similarity of each of the others to one, and whether it surely is or may be similar enough."""
     union = np.count_nonzero(others | lanes, axis=1)
-    guess = np.count_nonzero((others == lanes) & (others != 0), axis=1) / np.maximum(union, 1)
+    jaccard = np.count_nonzero((others == lanes) & (others != 0), axis=1) / np.maximum(union, 1)
+    guess = _cosine(jaccard / (1 + jaccard) * (sizes.astype(np.float64) + size), sizes, size)
     enough = union >= LEAST_LANES
     return guess, enough & (guess >= similarity + MARGIN), (union > 0) & (guess >= similarity - np.where(enough, MARGIN, SMALL_MARGIN))
 
 
-def similar_links(lanes: np.ndarray, similarity: float, trees: np.ndarray, sure: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+def similar_links(lanes: np.ndarray, sizes: np.ndarray, similarity: float, trees: np.ndarray, sure: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(pairs that surely are, or may be, similar enough and join `trees` to larger ones, the larger tree of each member)."""
     left, found, joined = np.arange(len(lanes)), [], np.empty(len(lanes), np.int64)
     while len(left):
@@ -214,7 +226,7 @@ def similar_links(lanes: np.ndarray, similarity: float, trees: np.ndarray, sure:
         while todo and len(left):
             a = todo.pop()
             known = trees[left] == trees[a]
-            hit = _estimates(lanes[left], lanes[a], similarity)[1 if sure else 2] & ~known
+            hit = _estimates(lanes[left], sizes[left], lanes[a], sizes[a], similarity)[1 if sure else 2] & ~known
             found += [(int(a), int(b)) for b in left[hit]]
             joined[left[hit | known]] = first
             todo += left[hit | known].tolist()
@@ -248,10 +260,10 @@ def _forests(groups: DataFrame, similarity: float) -> DataFrame:
             for members in batch["members"]:
                 prints, trees, sizes = (members.values.field(c).to_numpy() for c in ("fp", "tree", "size"))
                 lanes = np.frombuffer(b"".join(members.values.field("lanes").to_pylist()), np.uint8).reshape(-1, LANES)
-                found, joined = similar_links(lanes, similarity, trees, True)
+                found, joined = similar_links(lanes, sizes, similarity, trees, True)
                 u, v, n = prints[[a for a, _ in found]].tolist(), prints[[b for _, b in found]].tolist(), [None] * len(found)
                 if joined.any():
-                    for number, fps, tree in _unsure(prints, sizes, joined, similar_links(lanes, similarity, joined, False)[1]):
+                    for number, fps, tree in _unsure(prints, sizes, joined, similar_links(lanes, sizes, similarity, joined, False)[1]):
                         u += fps.tolist()
                         v += tree.tolist()
                         n += [_signed(number)] * len(fps)
@@ -262,10 +274,10 @@ def _forests(groups: DataFrame, similarity: float) -> DataFrame:
 
 def exact_links(prints: np.ndarray, trees: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Pairs whose shingle sets are similar enough and that join the trees; the likeliest are compared first."""
-    lanes = np.array([sketch(h) for h in sets]).reshape(-1, LANES)
+    lanes, sizes = np.array([sketch(h) for h in sets]).reshape(-1, LANES), np.array([len(h) for h in sets], np.int64)
     guesses, ones, others = [], [], []
     for i in range(len(sets) - 1):
-        guess, _, may = _estimates(lanes[i + 1 :], lanes[i], similarity)
+        guess, _, may = _estimates(lanes[i + 1 :], sizes[i + 1 :], lanes[i], sizes[i], similarity)
         hit = np.flatnonzero(may & (trees[i + 1 :] != trees[i]))
         guesses.append(guess[hit].astype(np.float32))
         ones.append(np.full(len(hit), i, np.int32))
@@ -284,7 +296,7 @@ def exact_links(prints: np.ndarray, trees: np.ndarray, sets: list[np.ndarray], s
             a, b = top(int(trees[i])), top(int(trees[j]))
             if a != b:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both / (len(sets[i]) + len(sets[j]) - both) >= similarity:
+                if both * both >= similarity * similarity * sizes[i] * sizes[j] * (1 - 1e-12):
                     root[max(a, b)] = min(a, b)
                     found.append((int(prints[i]), int(prints[j])))
     return found
@@ -355,20 +367,29 @@ def _shrink(rows: DataFrame, lanes: DataFrame, similarity: float, most: int) ->
     return out.unionByName(_forests(_gather(pairs, lanes, "a", "b"), similarity))
 
 
+def _simhash_links(distinct: DataFrame, most: int) -> DataFrame:
+    """Links (u, v) of the sets `fp` whose SimHashes (over each shingle once) differ in at most three bits."""
+    shared = materialize(distinct.where("size > 0").groupBy("simhash").agg(F.min("fp").alias("u"), F.count("*").alias("n")), "simhashes")
+    same = distinct.where("size > 0").join(shared.where("n > 1").select("simhash", "u"), "simhash").select("u", F.col("fp").alias("v")).where("u <> v")
+    near = links(shared.select(F.col("simhash").alias("fp")), most)
+    near = near.join(shared.select(F.col("simhash").alias("u"), F.col("u").alias("a")), "u").join(shared.select(F.col("simhash").alias("v"), F.col("u").alias("b")), "v")
+    return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = MOST) -> DataFrame:
-    """(id, component_id: the smallest id reachable by links of texts whose shingle sets are similar).
+    """(id, component_id: the smallest id reachable by links of texts whose shingle sets are similar, by cosine).
 
     Texts without a word are alike, and like no other; null ids and repeated rows as in components().
     """
     prints = materialize(_with_minima(docs, id_col, text_col, shingle), "minima")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.first("keys").alias("keys"), F.first("lanes").alias("lanes"), F.first("size").alias("size")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("low"), *[F.first(c).alias(c) for c in ("keys", "lanes", "size", "simhash")]), "distinct")
     keys = distinct.select("fp", F.posexplode("keys").alias("block", "key"))
     made = materialize(_shrink(keys.select("block", "key", "fp"), distinct.select("fp", "lanes", "size"), similarity, most), "made")
-    links = made.where("unsure IS NULL").select("u", "v")
+    linked = made.where("unsure IS NULL").select("u", "v").unionByName(_simhash_links(distinct.select("fp", "simhash", "size"), most))
     unsure = materialize(made.where("unsure IS NOT NULL").select(F.col("u").alias("fp"), F.col("v").alias("tree"), "unsure").distinct(), "unsure")
     if not unsure.isEmpty():
-        links = links.unionByName(_exact(unsure, docs, distinct.select("fp", "low"), id_col, text_col, shingle, similarity))
-    roots = connected_components(links)
+        linked = linked.unionByName(_exact(unsure, docs, distinct.select("fp", "low"), id_col, text_col, shingle, similarity))
+    roots = connected_components(linked)
     labelled = distinct.select("fp", "low").join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.select(id_col, "fp").join(labelled.join(lows, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
