@@ -22,7 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (five-word shingles, similarity of 0.8 or more)."""
+    """Of each group of near copies the document with the smallest id stays: five-word shingles, cosine similarity of 0.8 or more.
+
+    SimHash blocks join the texts within three bits; texts at 0.8 that these don't reach meet by smallest hashes.
+    """
     known = keyed(docs)
     groups = simhash.similar_components(known, "_k", "text", shingle=5, similarity=0.8)
     return known.join(groups.where("_k = component_id").select("_k"), "_k", "left_semi").select(*docs.columns)
