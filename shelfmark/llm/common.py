@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and \x09-\x0D, which is what bytes.split() takes as separators.
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = tempfile.mkdtemp(prefix="shelfmark-")
     return "file://" + _own_dir["dir"]
@@ -35,17 +37,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, made: tuple[str, ...] = (), name: str = "_row") -> Column:
+    """All columns but those that an operator makes itself, as one struct, so that no name can clash with its own."""
+    return F.struct(*[column(c) for c in docs.columns if c not in made] or [F.lit(None).alias("_none")]).alias(name)
+
+
+def unpacked(docs: DataFrame, made: tuple[str, ...] = (), name: str = "_row") -> list[Column]:
+    """The columns of packed() again, in order."""
+    return [F.col(name)[c].alias(c) for c in docs.columns if c not in made]
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "_k") -> DataFrame:
     """docs with a unique long column `key`, ascending in (id, text); ids stay as they are.
 
-    Where ids are unique and never null the key is the id itself. Otherwise rows are sorted by
+    Where ids are whole numbers, unique and never null, the key is the id itself. Otherwise rows are sorted by
     (id with nulls last, text) and numbered, and the numbered table is materialised so that a
     recomputed partition cannot renumber it. Only the id column is read to decide.
     """
-    odd = docs.groupBy(F.col(id_col).alias("i")).count().where("count > 1 OR i IS NULL")
-    if odd.isEmpty():
-        return docs.withColumn(key, F.col(id_col).cast("long"))
-    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.col(text_col).asc_nulls_first())
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        odd = docs.groupBy(column(id_col).alias("i")).count().where("count > 1 OR i IS NULL")
+        if odd.isEmpty():
+            return docs.withColumn(key, column(id_col).cast("long"))
+    ordered = docs.orderBy(column(id_col).asc_nulls_last(), column(text_col).asc_nulls_first())
     return materialize(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 

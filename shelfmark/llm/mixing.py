@@ -3,14 +3,17 @@
 Documents are aggregated by the set of sources they belong to. On that graph (a node a pattern,
 a node a source) words flow from patterns to source quotas; a pattern's first, second and third
 copies cost 1, 2 and 3 a word, so repeats are used last. A pattern's flow is then met by whole copies
-of all its documents plus one more copy of a seeded prefix: documents in the order of
-md5(seed:id), up to the one that brings the words nearest to the flow. The prefix is found from sums
-over 4096 hash buckets and one bucket's documents, so no source, however large, is one task's.
+of all its documents plus one more copy of seeded ones: in the order of md5(seed:id) each document that still fits
+is taken. This goes in rounds: a round takes documents no longer than what is missing until one doesn't fit, and the
+next round goes on behind them with what is then missing, at most ROUNDS times (each about halves it). At the
+end the shortest document left is taken too if that brings the words nearer to the flow. A round's end is found
+from sums over 4096 hash buckets and one bucket's documents, so no source, however large, is one task's.
 
 The driver holds a row for each pattern and each source, never a document.
 
 Edge cases. Null and empty texts weigh 0 and are never taken; a null source is a source, last in order;
-repeated rows tie and are taken together; an empty table gives no rows.
+repeated rows tie and are taken together; an empty table gives no rows; columns named as the four that are
+added (_size, _source_size, _target, _taken) are replaced, any others pass through.
 """
 
 from __future__ import annotations
@@ -18,13 +21,16 @@ from __future__ import annotations
 import json
 from collections import defaultdict, deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words_of
+from .common import column, materialize, n_words_of, packed, unpacked
 
 COPIES = 3
 SEED = "mix"
+#: Most rounds that fill what is missing of a flow.
+ROUNDS = 8
+MADE = ("_size", "_source_size", "_target", "_taken")
 
 
 def targets(sizes: dict, weights: dict, copies: int = COPIES) -> dict:
@@ -88,10 +94,58 @@ def cheapest_flow(patterns: dict, quotas: dict, copies: int = COPIES) -> dict:
     return {p: sum(arcs[first[p] + 2 * k + 1][1] for k in range(copies)) for p in patterns}
 
 
-def _keys(docs: DataFrame, id_col: str, source_col: str, seed: str) -> dict:
-    sources = F.col(source_col)
-    pattern = F.array_sort(F.array_distinct(sources)) if dict(docs.dtypes)[source_col].startswith("array") else F.array(sources)
-    return {"_pattern": F.to_json(pattern), "_order": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))}
+def _round(rows: DataFrame, state: DataFrame) -> list:
+    """(pattern, words taken, last document taken) of the longest run of documents behind `_last`, none over the gap, that fits it."""
+    bucket = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")
+    left = rows.join(F.broadcast(state), "_pattern").where((F.col("_size") <= F.col("_gap")) & (F.struct("_order", "_size") > F.col("_last")))
+    left = left.select("_pattern", "_order", "_size", "_gap", bucket.alias("_bucket"))
+    sums = left.groupBy("_pattern", "_gap", "_bucket").agg(F.sum("_size").alias("_sum"))
+    before = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where("_before < _gap")
+    edges = sums.groupBy("_pattern").agg(F.max(F.struct("_bucket", "_before")).alias("e")).select("_pattern", "e.*")
+    edges = materialize(edges, "edges")
+    # of the bucket in which the gap is filled, documents one by one; of those before it, the last one
+    inner = left.join(F.broadcast(edges), ["_pattern", "_bucket"])
+    so_far = Window.partitionBy("_pattern").orderBy("_order", "_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = inner.withColumn("_got", F.col("_before") + F.sum("_size").over(so_far)).where("_got <= _gap")
+    inner = inner.groupBy("_pattern").agg(F.max(F.struct("_order", "_size")).alias("_at"), F.max("_got").alias("_got"))
+    ahead = left.join(F.broadcast(edges.withColumnRenamed("_bucket", "_edge")), "_pattern").where("_bucket < _edge")
+    ahead = ahead.groupBy("_pattern").agg(F.max(F.struct("_order", "_size")).alias("_at"), F.max("_before").alias("_got"))
+    return inner.unionByName(ahead).groupBy("_pattern").agg(F.max("_at").alias("_at"), F.max("_got").alias("_got")).collect()  # a row a pattern
+
+
+_STATE = "_pattern string, _gap long, _last struct<_order: string, _size: long>"
+_ROUNDS = "array<struct<low: struct<_order: string, _size: long>, high: struct<_order: string, _size: long>, gap: long>>"
+
+
+def _chosen(rounds: Column, extra: Column) -> Column:
+    """A document (_order, _size) is taken once more."""
+    me = F.struct("_order", "_size")
+    fits = F.exists(rounds, lambda r: (me > r["low"]) & (me <= r["high"]) & (F.col("_size") <= r["gap"]))
+    return (F.col("_size") > 0) & (fits | F.coalesce(me == extra, F.lit(False)))
+
+
+def fillings(rows: DataFrame, gaps: dict[str, int]) -> dict[str, tuple[list, tuple | None]]:
+    """For each pattern the rounds (documents behind `low` up to `high` that are no longer than `gap`) and the last document."""
+    spark = rows.sparkSession
+    rows = rows.where("_size > 0")
+    rounds: dict[str, list] = {p: [] for p in gaps}
+    gap, last = dict(gaps), {p: ("", -1) for p in gaps}
+    todo = [p for p in gaps if gap[p] > 0]
+    for _ in range(ROUNDS):
+        if not todo:
+            break
+        found = _round(rows, spark.createDataFrame([(p, gap[p], last[p]) for p in todo], _STATE))
+        for p, at, got in found:
+            rounds[p].append((last[p], tuple(at), gap[p]))
+            last[p], gap[p] = tuple(at), gap[p] - got
+        todo = [r[0] for r in found if gap[r[0]] > 0]
+    extra: dict[str, tuple] = {}
+    if missing := [(p, gap[p], rounds[p]) for p in gaps if gap[p] > 0]:
+        state = spark.createDataFrame(missing, f"_pattern string, _gap long, _rounds {_ROUNDS}")
+        near = rows.join(F.broadcast(state), "_pattern").where("_size > _gap AND _size < 2 * _gap").where(~_chosen(F.col("_rounds"), F.lit(None).cast("struct<_order: string, _size: long>")))
+        extra = {r[0]: (r[1][1], r[1][0]) for r in near.groupBy("_pattern").agg(F.min(F.struct("_size", "_order"))).collect()}
+    return {p: (rounds[p], extra.get(p)) for p in gaps}
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, size: str | None = None, weights: dict | None = None, copies: int = COPIES, seed: str = SEED) -> DataFrame:
@@ -100,8 +154,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source_col: a string or an array of strings. size: a column with the words, else they are counted.
     weights: by source; else 1, 2, 3, repeating, over the sources by code point, null last.
     """
-    docs_ = docs.withColumn("_size", F.col(size).cast("long") if size else n_words_of(F.col(text_col))).withColumns(_keys(docs, id_col, source_col, seed))
-    slim = materialize(docs_.select("_pattern", "_order", "_size"), "sizes")
+    spark, sources = docs.sparkSession, column(source_col)
+    pattern = F.array_sort(F.array_distinct(sources)) if dict(docs.dtypes)[source_col].startswith("array") else F.array(sources)
+    order_ = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(column(id_col).cast("string"), F.lit(""))).cast("binary"))
+    words_ = F.coalesce(column(size).cast("long"), F.lit(0)) if size else n_words_of(column(text_col))
+    rows = docs.select(packed(docs, MADE), words_.alias("_size"), F.to_json(pattern).alias("_pattern"), order_.alias("_order"))
+    slim = materialize(rows.select("_pattern", "_order", "_size"), "sizes")
     words = {r[0]: r[1] for r in slim.groupBy("_pattern").agg(F.sum("_size")).collect()}
     members = {p: tuple(json.loads(p)) if p else (None,) for p in words}
     sizes: dict = defaultdict(int)
@@ -112,25 +170,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     weights = weights or {s: i % 3 + 1 for i, s in enumerate(order)}
     quotas = targets(sizes, weights, copies)
     flow = cheapest_flow({members[p]: words[p] for p in words}, quotas, copies)
-    rows = []
-    for p, of in members.items():
-        base, rest = divmod(flow[of], words[p]) if words[p] else (0, 0)
-        s = of[0] if of else None
-        rows.append((p, int(base), int(rest), sizes.get(s, 0), quotas.get(s, 0.0)))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(rows, "_pattern string, _base long, _rest long, _source_size long, _target double")
-    bucket = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")
-    sums = slim.groupBy("_pattern", bucket.alias("_bucket")).agg(F.sum("_size").alias("_sum"))
-    before = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    edge = sums.join(table, "_pattern").where("_before <= _rest").groupBy("_pattern").agg(F.max(F.struct("_bucket", "_before", "_rest")).alias("e")).select("_pattern", "e.*")
-    inner = slim.withColumn("_bucket", bucket).join(edge, ["_pattern", "_bucket"])
-    so_far = Window.partitionBy("_pattern").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    inner = inner.withColumn("_cum", F.col("_before") + F.coalesce(F.sum("_size").over(so_far), F.lit(0)))
-    last = inner.where("2 * _cum + _size <= 2 * _rest").groupBy("_pattern").agg(F.max(F.struct("_order", "_size")).alias("_last"))
-    final = table.join(edge.select("_pattern", "_bucket"), "_pattern", "left").join(last, "_pattern", "left")
-    cut = final.collect()  # a row a pattern
-    table = spark.createDataFrame(cut, "_pattern string, _base long, _rest long, _source_size long, _target double, _bucket int, _last struct<_order: string, _size: long>")
-    joined = docs_.join(table, "_pattern")
-    more = (F.col("_rest") > 0) & ((bucket < F.col("_bucket")) | ((bucket == F.col("_bucket")) & F.coalesce(F.struct("_order", "_size") <= F.col("_last"), F.lit(False))))
-    return joined.withColumn("_taken", F.col("_size") * (F.col("_base") + F.coalesce(more, F.lit(False)).cast("long"))).select(*[joined[c] for c in docs.columns], "_size", "_source_size", "_target", "_taken")
+    parts = {p: divmod(flow[of], words[p]) if words[p] else (0, 0) for p, of in members.items()}
+    filled = fillings(slim, {p: int(rest) for p, (_, rest) in parts.items()})
+    first = {p: of[0] if of else None for p, of in members.items()}
+    table = [(p, int(parts[p][0]), sizes.get(first[p], 0), quotas.get(first[p], 0.0), *filled[p]) for p in words]
+    table = spark.createDataFrame(table, f"_pattern string, _base long, _source_size long, _target double, _rounds {_ROUNDS}, _extra struct<_order: string, _size: long>")
+    taken = F.col("_size") * (F.col("_base") + _chosen(F.col("_rounds"), F.col("_extra")).cast("long"))
+    return rows.join(table, "_pattern").select(*unpacked(docs, MADE), "_size", "_source_size", "_target", taken.alias("_taken"))

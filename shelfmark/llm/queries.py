@@ -89,10 +89,22 @@ f as (select total - spent rest, weight from r where 3 * source_size * weight >
 t as (select source, source_size, case when f.weight is null or 3 * source_size * f.weight <= rest * w then (3 * source_size)::double else (rest * w)::double / f.weight::double end target from r left join f on true),
 q as (select *, round_even(target, 0)::bigint flow from t),
 p as (select *, case when source_size = 0 then 0 else flow // source_size end base, case when source_size = 0 then 0 else flow % source_size end rest from q),
-o as (select doc_id, size, source_size, target, base, rest, coalesce(sum(size) over (partition by d.source order by md5('mix:' || doc_id::varchar), size rows between unbounded preceding and 1 preceding), 0) cum
- from d join p on d.source is not distinct from p.source)
-select doc_id, size, source_size, target, (size * (base + case when rest > 0 and 2 * cum + size <= 2 * rest then 1 else 0 end))::bigint taken from o"""
+o as materialized (select doc_id, coalesce('s' || d.source, 'n') src, size, source_size, target, base, rest, md5('mix:' || doc_id::varchar) ord from d join p on d.source is not distinct from p.source),
+ROUNDS
+select doc_id, size, source_size, target, (size * (base + case when size > 0 and (CHOSEN or coalesce(ord = x.xord and size = x.xsize, false)) then 1 else 0 end))::bigint taken from o left join x using (src)"""
+_ROUND = """c{n} as (select src, ord, size, gap{m} gap, sum(size) over (partition by src order by ord, size) cum from o join s{m} using (src) where size > 0 and size <= gap{m} and (ord > ord{m} or (ord = ord{m} and size > size{m}))),
+s{n} as (select src, gap{m} - coalesce(cum, 0) gap{n}, coalesce(hi.ord, ord{m}) ord{n}, coalesce(hi.size, size{m}) size{n} from s{m} left join (select src, max(cum) cum, max({{'ord': ord, 'size': size}}) hi from c{n} where cum <= gap group by src) using (src)),"""
+
+
+def mix_sql() -> str:
+    """MIX_SQL with its rounds written out; a round that takes nothing ends where the one before did."""
+    n = mixing.ROUNDS
+    rounds = "s0 as (select distinct src, rest gap0, '' ord0, -1::bigint size0 from o),\n" + "\n".join(_ROUND.format(n=i, m=i - 1) for i in range(1, n + 1))
+    chosen = " or ".join(f"((ord > ord{i - 1} or (ord = ord{i - 1} and size > size{i - 1})) and (ord < ord{i} or (ord = ord{i} and size <= size{i})) and size <= gap{i - 1})" for i in range(1, n + 1))
+    joined = "o " + " ".join(f"join s{i} using (src)" for i in range(n + 1))
+    rounds += f"\nt1 as (select o.*, {chosen} chosen, gap{n} left_over from {joined}),\nx as (select src, hi.ord xord, hi.size xsize from (select src, min({{'size': size, 'ord': ord}}) hi from t1 where size > left_over and size < 2 * left_over and not chosen group by src))"
+    return MIX_SQL.replace("ROUNDS", rounds).replace("from o left join x", "from t1 left join x").replace("CHOSEN", "chosen")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.judge_sql(), "op7_license_scan": license_scan.scan_sql(), "op9_mix_sources": MIX_SQL}
+    return {"op2_quality_rules": quality_rules.judge_sql(), "op7_license_scan": license_scan.scan_sql(), "op9_mix_sources": mix_sql()}
