@@ -2,29 +2,32 @@
 
 A word's symbols are a linked list; a heap holds its mergeable neighbours by rank. The lowest rank is
 popped and merged again and again, and the count is the number of symbols at first less the merges: no
-ids are made. Texts fall apart at white space, so counts of white-space-free strings are kept in
+ids are made. Words beyond ASCII are normalised and split by the library's own normaliser and pre-tokeniser, whose
+Unicode version decides what a letter is. Texts fall apart at white space, so counts of white-space-free strings are kept in
 a bounded table of each worker.
 
 Edge cases. Null and empty texts, and texts of white space only, have no tokens. Special strings inside
-a text count one each. All other columns are ignored; each row gives a row.
+a text count one each. Columns besides the id (of any type) and the text are ignored; each row gives a row, and
+an empty table gives none.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 #: White space of the vocabulary's normaliser and its split pattern.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 #: Most entries of a worker's tables, and the longest string (in characters) that they hold.
 KEPT, KEPT_LENGTH = 1_000_000, 64
 
@@ -68,7 +71,7 @@ def merged_count(symbols: list[int], ranks: dict[int, int], results: list[int])
     return left
 
 
-def keep(table: dict, text: str, value) -> None:
+def keep(table: dict, text: str | bytes, value) -> None:
     if len(text) <= KEPT_LENGTH:
         if len(table) >= KEPT:
             table.clear()
@@ -79,6 +82,9 @@ class Counter:
     """Counts tokens of texts; one a worker and vocabulary file."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)
         model = vocabulary["model"]
@@ -93,18 +99,24 @@ class Counter:
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.at_white = re.compile(f"[{WHITE}]+")
         self.odd = re.compile("[\x1c-\x1f]")  # white space for str.split() alone
-        self.pieces = regex.compile(PIECES)
+        self.pieces = re.compile(PIECES, re.ASCII)
+        self.library = Tokenizer.from_file(path)
+        self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         self.known: dict[str, int] = {}
-        self.known_pieces: dict[str, int] = {}
+        self.known_pieces: dict[bytes, int] = {}
 
     def word(self, word: str) -> int:
         """Tokens of a string without white space or special strings."""
-        word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        if word.isascii():
+            pieces = [p.encode() for p in self.pieces.findall(word.lower())]
+        else:
+            shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))
+            pieces = [bytes(map(self.byte_of.__getitem__, p)) for p, _ in shown]
         total = 0
-        for piece in self.pieces.findall(word):
+        for piece in pieces:
             n = self.known_pieces.get(piece)
             if n is None:
-                data = piece.encode()
+                data = piece
                 symbols = [*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]]
                 n = merged_count(symbols, self.ranks, self.results)
                 keep(self.known_pieces, piece, n)
@@ -144,8 +156,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
         counter = _counters[path]
         for batch in batches:
             counts = [counter.text(x) for x in batch["_t"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch[id_col], batch["n_bytes"], pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["n_bytes"], pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(id_col, text.alias("_t"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return source.mapInArrow(run, docs.select(id_col).withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(True)}).schema)
+    text = F.coalesce(column(text_col), F.lit(""))
+    source = docs.select(column(id_col).alias("_id"), text.alias("_t"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return source.mapInArrow(run, docs.select(column(id_col)).withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(True)}).schema)
