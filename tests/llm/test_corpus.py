@@ -139,14 +139,37 @@ def test_token_counts(spark, edge):
     texts += ["<|endoftext|>a <|startoftext|>", "ΣΑΣ ÉCOLE éa İI don't we'LL 123 ½²Ⅷ a\x1cb c\x85d", "a" * 300, "<|endoftext|", "Å ﬁ क़"]
     counter = token_counts.Counter(path)
     assert [counter.text(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    rng = random.Random(4)
+    kinds = [(0, 127), (0x80, 0x2FFF), (0x3000, 0xD7FF), (0xE000, 0x1FFFF), (0x20, 0x20), (0x301, 0x301), (0x130, 0x130), (0x3A3, 0x3A3), (0x191D2, 0x191D2), (0xA7CB, 0xA7DC)]
+    odd = ["".join(chr(rng.randint(*rng.choice(kinds))) for _ in range(rng.randint(1, 12))) for _ in range(4000)] + ["a" * 30_000, "é" * 30_000]
+    assert [counter.text(t) for t in odd] == [len(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
     assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(edge, path).collect()}[1] == 0
+    assert token_counts.count_tokens(edge, path).count() == len(EDGE) and token_counts.count_tokens(edge.where("false"), path).count() == 0
 
 
 def test_licenses(spark):
     mit = license_scan.LICENSES["MIT"].replace("\n", "\r\n").upper().replace("SUBLICENSE", "sub-license")
-    rows = [(1, "Copyright (c) 2024 Somebody\nAll rights reserved.\n" + mit), (2, None), (3, ""), (4, license_scan.LICENSES["MIT"] + " more")]
-    got = {r.doc_id: r.license_id for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "MIT", 2: None, 3: None, 4: None}
+    of = license_scan.LICENSES
+    rows = [
+        ("MIT", "Copyright (c) 2024 Somebody\nAll rights reserved.\n" + mit), (None, None), (None, ""), (None, of["MIT"] + " more"), (None, "\n" * 200_000 + "x" * 200_000), (None, "Copyright (c) 2020 A"),
+        ("MIT", "The MIT License (MIT)\n\nCopyright Joyent, Inc. and other Node contributors.\n\n" + of["MIT"]), ("MIT", "# MIT License\n#\n" + "\n".join("# " + x for x in of["MIT"].split("\n"))),
+        ("BSD-3-Clause", 'BSD 3-Clause "New" License:\nCopyright (c) 2001, X\n\n' + of["BSD-3-Clause"].replace("copyright holder", "copyright owner")), ("ISC", "ISC License\r\n\r\n" + of["ISC"]), ("BSD-2-Clause", " " * 5000 + of["BSD-2-Clause"].replace(" ", "\n\t ")), ("Unlicense", of["Unlicense"]),
+        (None, "MIT License\n"), (None, "x " + of["ISC"]),
+    ]
+    rows = [(i, *r, 1) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, digest string, text string, license_id int")
+    got = {r.doc_id: r.license_id for r in license_scan.scan(docs).collect()}
+    assert got == {r[0]: r[1] for r in rows}
+    assert license_scan.scan(docs.where("false")).count() == 0 and license_scan.scan(docs.unionAll(docs)).where("is_license").count() == 14
+    plain = spark.createDataFrame([(" licence licence licences, whilst whilst favour",), ("sub licence sub-license",)], "t string").select(license_scan.normalized(F.col("t"))).collect()
+    assert [r[0] for r in plain] == ["license license licenses while while favor", "sublicense sublicense"]
+    assert [r.license_id for r in license_scan.scan(spark.createDataFrame([("a", "Own words.")], "doc_id string, text string"), licenses={"own": "own  WORDS"}).collect()] == ["own"]
+    folder = "/usr/share/common-licenses/"
+    for name, file in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")):
+        if os.path.exists(folder + file):
+            with open(folder + file, encoding="utf-8") as f:
+                whole = spark.createDataFrame([(1, f.read())], "doc_id long, text string")
+            assert license_scan.scan(whole).first().license_id == name
 
 
 def test_language(spark, edge):
@@ -188,6 +211,35 @@ def test_mixing(spark, edge):
     flow = mixing.cheapest_flow({("a",): 100, ("a", "b"): 100, ("b",): 10}, {"a": 150.0, "b": 60.0})
     assert sum(flow.values()) == 210 and flow["b",] == 10 and flow["a",] == 100
     assert mixing.mix(edge).count() == len(EDGE) and mixing.mix(edge.where("false")).count() == 0
+    docs = spark.createDataFrame([(i, "w " * n, s, "x") for s in "ab" for i, n in enumerate([1000, 3, 50, 700, 20, 8, 90, 1, 400, 35] * 6)], "doc_id long, text string, source string, _size string")
+    got = mixing.mix(docs).collect()
+    assert mixing.mix(docs).columns == ["doc_id", "text", "source", "_size", "_source_size", "_target", "_taken"]
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r._taken for r in own) - own[0]._target) <= 1 and all(0 <= r._taken <= 3 * r._size for r in own)
+    assert sorted(map(tuple, mixing.mix(docs.repartition(7)).collect())) == sorted(map(tuple, got))
+    both = spark.createDataFrame([("i%d" % i, 10, ["a"] if i % 2 else ["a", "b"]) for i in range(40)], "doc_id string, n int, source array<string>")
+    rows = mixing.mix(both, size="n", weights={"a": 1, "b": 3}).collect()
+    assert len(rows) == 40 and all(r._taken in (0, 10, 20, 30) for r in rows) and sum(r._taken for r in rows) > 0
+
+
+def test_mixing_against_a_plain_walk(spark):
+    """Each document in seeded order is taken if it fits what is missing; at the end the shortest left one if that is nearer."""
+    rng = random.Random(2)
+    sizes = {i: rng.choice([0, 1, 5, 9, 40, 333, 2000]) + rng.randint(0, 3) for i in range(300)}
+    rows = [("p", hashlib.md5(f"mix:{i}".encode()).hexdigest(), n) for i, n in sizes.items()]
+    table = spark.createDataFrame(rows, "_pattern string, _order string, _size long")
+    for gap in (1, 17, 900, 12_345):
+        rounds, extra = mixing.fillings(table, {"p": gap})["p"]
+        at = lambda o, n: any(low < (o, n) <= high and n <= g for low, high, g in rounds) or (o, n) == extra
+        left, want = gap, set()
+        for _, o, n in sorted(rows, key=lambda r: r[1:]):
+            if 0 < n <= left:
+                want.add(o)
+                left -= n
+        near = min(((n, o) for _, o, n in rows if o not in want and left < n < 2 * left), default=None)
+        got = {o for _, o, n in rows if n > 0 and at(o, n)}
+        assert got == want | ({near[1]} if near else set())
 
 
 def test_media(spark, edge):
