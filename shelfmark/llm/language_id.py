@@ -4,10 +4,13 @@ The pieces are those of a fixed public vocabulary; each language has a probabili
 fitted by expectation-maximisation on a bounded sample of labelled texts. A word's score under
 a language is the sum over all its segmentations (forward algorithm); no piece crosses white space, so
 a text's score is the sum of its words' log scores. Workers keep the scores of words in a bounded table.
+Pieces of one text are no independent evidence, so the posterior counts a text's mean log odds as if it had
+EVIDENCE characters at most; the predicted language is the same with and without that.
 
 Edge cases. `und` with score 0 if a text is null or empty, has no letter, or nothing could be learned;
-ties go to the first language by code point; rows with a null label are never learned from; each row
-gives a row.
+ties go to the first language by code point; rows with a null label are never learned from; each row, repeated
+ones too, gives a row; an empty table gives none; columns named as the two that are added are replaced, any others
+pass through.
 """
 
 from __future__ import annotations
@@ -21,10 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 #: About so many texts of each language, none over so many bytes, are learned from.
 SAMPLE, SAMPLE_BYTES = 300, 100_000
 ROUNDS, SMOOTH = 3, 0.1
-#: Most words that a worker keeps, and the longest (in characters) that the batched forward pass takes.
+#: A text's evidence counts for so many characters at most.
+EVIDENCE = 100
+#: Most words that a worker keeps, and the longest (in characters) that the batched passes take; longer ones go one by one.
 KEPT, SHORT = 400_000, 24
 _SCALE = 30.0
 #: Closes a word in the lattice; no code point.
@@ -105,7 +112,7 @@ class Model:
         return grid.reshape(len(words), size + 1, -1)
 
     def _batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
-        """Places of up to 4096 words of one length, and their lattice; words over SHORT are left out."""
+        """Places of up to 4096 words of one length, and their lattice; words over SHORT aren't among them."""
         by_size = defaultdict(list)
         for i, w in enumerate(words):
             if len(w) <= SHORT:
@@ -137,6 +144,28 @@ class Model:
                 a = {k: v / top for k, v in a.items()}
         return logs + np.log(np.maximum(a[len(word)], 1e-300))
 
+    def long_expected(self, word: str, weights: np.ndarray, total: np.ndarray) -> None:
+        """Add one word's expected piece counts, weighted by language, to `total`: forward and backward sums of logarithms."""
+        n, edges = len(word), self.edges(word)
+        with np.errstate(divide="ignore"):
+            logs = np.log(self.p)
+        into, out = defaultdict(list), defaultdict(list)
+        for e, size, p in edges:
+            into[e].append((e - size, p))
+            out[e - size].append((e, p))
+        a, b = np.full((n + 1, self.p.shape[1]), -np.inf), np.full((n + 1, self.p.shape[1]), -np.inf)
+        a[0] = b[n] = 0
+        for e in range(1, n + 1):
+            at, p = map(list, zip(*into[e], strict=True))
+            a[e] = np.logaddexp.reduce(a[at] + logs[p], axis=0)
+        for s in range(n - 1, -1, -1):
+            at, p = map(list, zip(*out[s], strict=True))
+            b[s] = np.logaddexp.reduce(b[at] + logs[p], axis=0)
+        ends, sizes, pieces = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+        with np.errstate(invalid="ignore"):
+            mass = np.exp(a[ends - sizes] + logs[pieces] + b[ends] - a[n])
+        np.add.at(total, pieces, np.nan_to_num(mass) * weights)
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Log score of each word (marked at its start) under each language."""
         out = np.full((len(words), self.p.shape[1]), -np.inf)
@@ -148,7 +177,7 @@ class Model:
         return out
 
     def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Expected piece counts of the words, weighted [word, language], by forward and backward sums; words over SHORT add none."""
+        """Expected piece counts of the words, weighted [word, language], by forward and backward sums."""
         total = np.zeros_like(self.p)
         for part, grid in self._batches(words):
             a, b = self._forward(grid), np.zeros((*grid.shape[:2], self.p.shape[1]))
@@ -163,26 +192,29 @@ class Model:
                     mass = a[:, e - n] * self.p[p] * _SCALE**n * b[:, e] * share
                     for x in range(mass.shape[1]):
                         total[:, x] += np.bincount(p, mass[:, x], len(total))
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                self.long_expected(w, weights[i], total)
         return total[:-1]
 
 
 def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, pieces_path: str, sample: int = SAMPLE) -> Model | None:
     """A model from about `sample` texts of each language, picked by a hash of the id; None if there is no label."""
-    labelled = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    labelled = labelled.select(column(id_col).alias("i"), column(text_col).alias("t"), column(lang_col).alias("l")).where("l IS NOT NULL AND t IS NOT NULL").where(F.octet_length("t") <= SAMPLE_BYTES)
+    sizes = {r[0]: r[1] for r in labelled.groupBy("l").count().collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample / n)])
-    picked = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample")), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
-    counted = picked.select(F.col(lang_col).alias("l"), F.explode(F.split(text_col, r"\s+")).alias("w")).where("w <> ''").groupBy("l", "w").count().toPandas()
+    picked = labelled.where(F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("language sample")), F.lit(1_000_000)) < share[F.col("l")] * 1_000_000)
+    counted = picked.select("l", F.explode(F.split("t", r"\s+")).alias("w")).where("w <> ''").groupBy("l", "w").count().toPandas()
     languages = sorted(sizes)
     model = Model(read_pieces(pieces_path), languages)
     words = sorted(counted["w"].unique())
     weights = np.zeros((len(words), len(languages)))
     row = {w: i for i, w in enumerate(words)}
-    column = {x: i for i, x in enumerate(languages)}
+    place = {x: i for i, x in enumerate(languages)}
     for x, w, n in counted.itertuples(index=False):
-        weights[row[w], column[x]] = n
+        weights[row[w], place[x]] = n
     marked = ["▁" + w for w in words]
     for _ in range(ROUNDS if words else 0):
         model.set(model.expected(marked, weights))
@@ -219,10 +251,12 @@ _scorers: dict[int, _Scorer] = {}
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", *, language: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its posterior probability under equal priors."""
     spark = docs.sparkSession
+    names = [c for c in docs.columns if c not in (language, score)]
+    kept = docs.select(*map(column, names))
     if model is None:
-        return docs.withColumns({language: F.lit("und"), score: F.lit(0.0)})
+        return kept.withColumns({language: F.lit("und"), score: F.lit(0.0)})
     shared, key = spark.sparkContext.broadcast(model), hash((model.p.tobytes(), tuple(model.languages)))
-    names = docs.columns
+    rows = docs.select(F.struct(*map(column, names)).alias("row") if names else F.lit(None).alias("row"), column(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:
@@ -230,7 +264,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", *, lan
             _scorers[key] = _Scorer(shared.value)
         scorer = _scorers[key]
         for batch in batches:
-            texts = batch[text_col].to_pylist()
+            texts = batch["text"].to_pylist()
             languages, scores = ["und"] * len(texts), np.zeros(len(texts))
             todo = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
             while todo:
@@ -240,10 +274,12 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", *, lan
                     size += len(texts[part[-1]])
                 found = scorer.texts([texts[i] for i in part])
                 best = found.argmax(axis=1)
+                found /= np.maximum(1, np.array([len(texts[i]) for i in part]) / EVIDENCE)[:, None]
                 odds = np.exp(found - found.max(axis=1, keepdims=True))
                 for i, b in zip(part, best, strict=True):
                     languages[i] = scorer.model.languages[b]
                 scores[part] = 1 / odds.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(languages, pa.string()), pa.array(scores)], names=[*names, language, score])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(languages, pa.string()), pa.array(scores)], names=["row", "language", "score"])
 
-    return docs.mapInArrow(run, docs.withColumns({language: F.lit(""), score: F.lit(0.0)}).schema)
+    made = rows.mapInArrow(run, rows.select("row").withColumns({"language": F.lit(""), "score": F.lit(0.0)}).schema)
+    return made.select(*[F.col("row")[c].alias(c) for c in names], F.col("language").alias(language), F.col("score").alias(score))

@@ -181,6 +181,42 @@ def test_language(spark, edge):
     assert {r.lang_pred for r in got} == {"und"}
     model = language_id.Model(["▁", "a", "b", "ab", "▁a"], ["x"])
     p = dict(zip(["▁", "a", "b", "ab", "▁a"], model.p[:, 0], strict=False))
+    rng = random.Random(1)
+    pieces = ["▁", "▁a", "a", "b", "c", "ab", "bc", "abc", "ca"]
+    model = language_id.Model(pieces, ["x", "y"], np.array([[rng.randint(1, 9), rng.randint(1, 9)] for _ in range(len(pieces) + 1)], float))
+
+    def brute(word):  # every segmentation: its probability and its pieces
+        if not word:
+            return [(np.ones(2), [])]
+        out = []
+        for n in range(1, 4):
+            at = model.ids.get(word[:n], len(pieces) if n == 1 else None)
+            if at is not None and n <= len(word):
+                out += [(model.p[at] * q, [at, *rest]) for q, rest in brute(word[n:])]
+        return out
+
+    words = ["▁" + "".join(rng.choice("abcz") for _ in range(rng.randint(1, 8))) for _ in range(20)]
+    weights = np.array([[rng.randint(0, 5), rng.randint(0, 5)] for _ in words], float)
+    want, one_by_one = np.zeros_like(model.p), np.zeros_like(model.p)
+    for w, weight in zip(words, weights, strict=True):
+        ways = brute(w)
+        whole = sum(q for q, _ in ways)
+        assert np.allclose(model.scores([w])[0], np.log(whole)) and np.allclose(model.long_score(w), np.log(whole))
+        for q, used in ways:
+            for i in used:
+                want[i] += q / whole * weight
+        model.long_expected(w, weight, one_by_one)
+    assert np.allclose(model.expected(words, weights), want[:-1]) and np.allclose(one_by_one, want)
+    long = "▁" + "abc" * 400
+    assert np.allclose(model.expected([long], np.ones((1, 2))).sum(axis=0) > 400, True)
+    odd = spark.createDataFrame([(1, "abcab", 1.0, "q"), (1, "abcab", 1.0, "q"), (None, None, None, None), (2, "1 2 3", 0.0, ""), (3, "cab" * 30_000, 0.0, "")], "doc_id long, text string, score double, lang_pred string")
+    rows = language_id.predict(odd, model).collect()
+    assert len(rows) == 5 and [r.lang_pred for r in rows if r.doc_id in (None, 2)] == ["und", "und"] and all(0 <= r.score <= 1 for r in rows)
+    assert language_id.predict(odd.where("false"), model).count() == 0 and odd.columns == ["doc_id", "text", "score", "lang_pred"]
+    scripts = spark.createDataFrame([(i, ("あいう" if i % 2 else "상하좌") * 20, "ja" if i % 2 else "ko") for i in range(40)], "doc_id long, text string, lang string")
+    spaceless = language_id.learn(scripts, "text", "lang", "doc_id", public_tokenizers.path(queries.PIECES))
+    assert all(r.lang_pred == r.lang for r in language_id.predict(scripts, spaceless).collect())
+    model = language_id.Model(["▁", "a", "b", "ab", "▁a"], ["x"])
     want = p["▁"] * p["a"] * p["b"] + p["▁"] * p["ab"] + p["▁a"] * p["b"]
     assert np.allclose(model.scores(["▁ab"]), np.log(want)) and np.allclose(model.long_score("▁ab"), np.log(want))
 
