@@ -5,7 +5,8 @@ and IEND chunks with checksums. Reading tests every checksum and undoes the filt
 hash is the sign pattern of the 8 x 8 lowest cosine-transform terms of the image scaled to 32 x 32.
 
 Edge cases. Null and empty texts give one row of zeros; payloads are padded with zeros to whole rows,
-at least one; damaged bytes raise ValueError; each row gives a row and other columns are ignored.
+at least one; damaged bytes raise ValueError; each row, repeated ones too, gives a row, and an empty table none;
+columns named as those that are added are replaced, any others pass through.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, packed
+
 WIDTH = 64
 #: Fixed value: the format's signature.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -123,15 +126,17 @@ def payload_of(text: bytes, width: int = WIDTH) -> bytes:
 
 def with_media(docs: DataFrame, text_col: str = "text", *, media: str = "media", feature: str = "media_hash") -> DataFrame:
     """docs with two binary columns: the text as a PNG, and the hash of the image read back."""
-    names = docs.columns
+    names = [c for c in docs.columns if c not in (media, feature)]
+    rows = docs.select(packed(docs, (media, feature)), column(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            images = [encode(payload_of((t or "").encode())) for t in batch[text_col].to_pylist()]
+            images = [encode(payload_of((t or "").encode())) for t in batch["text"].to_pylist()]
             hashes = [cosine_hash(decode(x)) for x in images]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(images, pa.binary()), pa.array(hashes, pa.binary())], names=[*names, media, feature])
+            yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(images, pa.binary()), pa.array(hashes, pa.binary())], names=["_row", "media", "hash"])
 
-    return docs.mapInArrow(run, docs.withColumns({media: F.lit(b""), feature: F.lit(b"")}).schema)
+    made = rows.mapInArrow(run, rows.select("_row").withColumns({"media": F.lit(b""), "hash": F.lit(b"")}).schema)
+    return made.select(*[F.col("_row")[c].alias(c) for c in names], F.col("media").alias(media), F.col("hash").alias(feature))
 
 
 def digests(stored: DataFrame, id_col: str = "doc_id", n_bytes: str = "n_bytes", *, media: str = "media", feature: str = "media_hash") -> DataFrame:

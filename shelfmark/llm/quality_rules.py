@@ -12,9 +12,10 @@ few labels to prove anything gets no cutoff and keeps all.
 Windows of three words are compared by XXH64 and then, where hashes agree, nothing else: two different
 windows of one text agree with probability 2^-64.
 
-Edge cases. A null text has no words and fails the base rule; a null stratum is one of its own; a document
-with several labels counts as good if any says so; labels of unknown ids are ignored; repeated rows
-get a row each.
+Edge cases. A null text has no words and fails the base rule; a null stratum is one of its own (that of the empty
+name); a document with several labels counts as good if any says so; labels of unknown ids are ignored; repeated rows
+get a row each; an empty table gives none, and without labels there is no cutoff; whole texts are read whatever their
+length; columns named as those that are made (MADE) are replaced, any others pass through.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, words_of
+from .common import SPACES, column, materialize, packed, unpacked, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 RISK, LEVEL = 0.06, 0.05
+MADE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "symbol_rate", "line_rate", "repeat_rate", "kept")
 GRIDS = {
     "symbol_rate": ("n_symbols", "n_words", (2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
     "line_rate": ("n_dup_lines", "n_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2)),
@@ -38,9 +40,14 @@ GRIDS = {
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text, with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed."""
-    kept = [c for c in docs.columns if c != text_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    stages = docs.select(*kept, text.alias("_t"), words_of(F.col(text_col)).alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACES}]")).alias("_l"))
+    return rated_rows(docs, text_col).select(*unpacked(docs, (text_col, *MADE)), *MADE[:7])
+
+
+def rated_rows(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    """The features, with docs' columns in one struct `_row`, and more columns."""
+    text = F.coalesce(column(text_col), F.lit(""))
+    kept = ["_row", *(f"_x{i}" for i in range(len(more)))]
+    stages = docs.select(packed(docs, (text_col, *MADE)), *[x.alias(f"_x{i}") for i, x in enumerate(more)], text.alias("_t"), words_of(column(text_col)).alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACES}]")).alias("_l"))
     n = F.size("_w")
     at = lambda i: F.get(F.col("_w"), i)
     windows = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i")))
@@ -61,10 +68,12 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def cutoffs(rated: DataFrame, labels: DataFrame, stratum: str, id_col: str, good: Column, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(_stratum, and for each rate the smallest cutoff that was proved harmless, null where none was)."""
-    marked = labels.where(good).select(F.col(id_col).alias("_id")).distinct()
-    held = rated.where("NOT base_failed").withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(marked, F.col(id_col) == F.col("_id"))
+def cutoffs(rated: DataFrame, good_ids: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(_stratum, and for each rate the smallest cutoff that was proved harmless, null where none was).
+
+    rated: features with `_id` and `_stratum`; good_ids: the ids (`_id`) of documents that were labelled good.
+    """
+    held = rated.where("NOT base_failed").join(good_ids.where("_id IS NOT NULL").distinct(), "_id")
     each = risk / len(GRIDS)
     over = [F.sum(F.when(F.col(a) > c * F.col(b), 1).otherwise(0)).cast("long").alias(f"{name}_{i}") for name, (a, b, grid) in GRIDS.items() for i, c in enumerate(grid)]
     tested = materialize(held.groupBy("_stratum").agg(F.count("*").alias("_n"), *over), "strata")
@@ -89,13 +98,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels: (id, quality, ...); `good` picks the good ones, quality = 1 unless given.
     """
     good = F.col("quality") == 1 if good is None else good
-    rated = materialize(features(docs, text_col), "rated")
-    cuts = cutoffs(rated, labels, stratum, id_col, good, risk, level)
-    joined = rated.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(cuts, "_stratum", "left")
+    rated = rated_rows(docs, text_col, column(id_col), F.coalesce(column(stratum).cast("string"), F.lit("")))
+    rated = materialize(rated.withColumnsRenamed({"_x0": "_id", "_x1": "_stratum"}), "rated")
+    cuts = cutoffs(rated, labels.where(good).select(column(id_col).alias("_id")), risk, level)
+    joined = rated.join(cuts, "_stratum", "left")
     rejected = F.lit(False)
     for name, (a, b, _) in GRIDS.items():
         rejected |= F.coalesce(F.col(a) > F.col(name) * F.col(b), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).select(*unpacked(docs, (text_col, *MADE)), *MADE)
 
 
 def judge_sql() -> str:

@@ -9,7 +9,8 @@ at most 16 free bits, so at most 65,536 fingerprints, whatever the input.
 
 Edge cases. Fewer words than a shingle: the whole sequence is the shingle. No word, empty or null
 text: fingerprint zero, linked like any other. Repeated rows share a component. A null id never
-becomes a component id unless its component has no other. Other columns are ignored.
+becomes a component id unless its component has no other; ids may be of any type with an order. Other columns are
+ignored; an empty table gives no rows.
 
 similar_components() serves the rule "five-word shingles, similarity of 0.8 or more". The similarity that SimHash
 estimates is the cosine of the shingle sets (the share of equal bits is 1 less their angle over pi), so that is what
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import column, materialize
 from .components import connected_components
 
 MOST = 4096
@@ -154,13 +155,14 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = MOST) -> DataFrame:
     """(id, fingerprint as 16 hexadecimal digits, component_id: the smallest id reachable)."""
-    prints = materialize(with_fingerprint(docs.select(id_col, text_col), text_col, shingle), "fingerprints")
-    distinct = prints.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_col).alias("low"))
+    docs = docs.select(column(id_col).alias("_id"), column(text_col).alias("_t"))
+    prints = materialize(with_fingerprint(docs, "_t", shingle), "fingerprints")
+    distinct = prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("low"))
     roots = connected_components(links(distinct.select("fp"), most))
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     named = labelled.join(lows, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(named, "_fp").select(id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Blocks of the similarity fingerprint, minima in a block, and lanes.
@@ -381,15 +383,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts without a word are alike, and like no other; null ids and repeated rows as in components().
     """
-    prints = materialize(_with_minima(docs, id_col, text_col, shingle), "minima")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("low"), *[F.first(c).alias(c) for c in ("keys", "lanes", "size", "simhash")]), "distinct")
+    docs = docs.select(column(id_col).alias("_id"), column(text_col).alias("_t"))
+    prints = materialize(_with_minima(docs, "_id", "_t", shingle), "minima")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("_id").alias("low"), *[F.first(c).alias(c) for c in ("keys", "lanes", "size", "simhash")]), "distinct")
     keys = distinct.select("fp", F.posexplode("keys").alias("block", "key"))
     made = materialize(_shrink(keys.select("block", "key", "fp"), distinct.select("fp", "lanes", "size"), similarity, most), "made")
     linked = made.where("unsure IS NULL").select("u", "v").unionByName(_simhash_links(distinct.select("fp", "simhash", "size"), most))
     unsure = materialize(made.where("unsure IS NOT NULL").select(F.col("u").alias("fp"), F.col("v").alias("tree"), "unsure").distinct(), "unsure")
     if not unsure.isEmpty():
-        linked = linked.unionByName(_exact(unsure, docs, distinct.select("fp", "low"), id_col, text_col, shingle, similarity))
+        linked = linked.unionByName(_exact(unsure, docs, distinct.select("fp", "low"), "_id", "_t", shingle, similarity))
     roots = connected_components(linked)
     labelled = distinct.select("fp", "low").join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.select(id_col, "fp").join(labelled.join(lows, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
+    return prints.select("_id", "fp").join(labelled.join(lows, "root").select("fp", "component_id"), "fp").select(F.col("_id").alias(id_col), "component_id")

@@ -15,8 +15,10 @@ are grouped by window hash instead, so that no task gathers an unbounded group.
 
 Cells, anchors and contexts are compared by 64-bit fingerprints, always two or more of them together.
 
-Edge cases. A null text is empty; a text under `length` bytes is left whole; repeated or null ids are
-ordered as `common.keyed` says and count as documents of their own; other columns pass through.
+Edge cases. A null text is empty; a text under `length` bytes is left whole; repeated or null ids, and ids that
+aren't whole numbers, are ordered as `common.keyed` says and count as documents of their own; other columns pass
+through whatever their names, but for those that are made (_n_bytes, _n_removed, _n_spans, _kept_sha256), which are
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, merged
+from .common import column, keyed, materialize, merged, packed, unpacked
 from .suffix_array import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -331,16 +333,16 @@ def _cut(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rewrite: bool = False, hot: int = HOT) -> DataFrame:
     """docs with _n_bytes, _n_removed, _n_spans, _kept_sha256 in place of the text; with `rewrite`, docs with the
     repeated strings cut out of the text instead (spans narrowed to whole characters, null texts stay null)."""
-    source = keyed(docs, id_col, text_col).withColumn("_b", F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    made_names = (text_col,) if rewrite else (text_col, "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256")
+    source = docs.select(packed(docs, made_names), column(id_col).alias("_id"), column(text_col).alias("_t"))
+    source = keyed(source, "_id", "_t").withColumn("_b", F.coalesce(F.col("_t"), F.lit("")).cast("binary"))
     spans = covered_spans(source, hot)
     by_doc = spans.groupBy(F.col("k").alias("_k")).agg(F.collect_list("start").alias("_s"), F.collect_list("end").alias("_e"))
-    kept = docs.columns if rewrite else [c for c in docs.columns if c != text_col]
-    joined = source.select(*dict.fromkeys([*kept, "_k", "_b"])).join(by_doc, "_k", "left")
-    if rewrite:
-        joined = joined.withColumn("_null", F.col(text_col).isNull()).drop(text_col)
-        schema = docs.schema
-    else:
-        schema = docs.select(*kept).withColumns({"_n_bytes": F.lit(0).cast("long"), "_n_removed": F.lit(0).cast("long"), "_n_spans": F.lit(0).cast("long"), "_kept_sha256": F.lit("")}).schema
+    joined = source.select("_row", "_k", "_b", F.col("_t").isNull().alias("_null")).join(by_doc, "_k", "left")
+    fields = "text string" if rewrite else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = joined.select("_row").schema
+    for field in fields.split(", "):
+        schema = schema.add(*field.split(" "))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,11 +358,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sizes.append(len(text)), removed.append(int((end - start).sum())), counts.append(len(start))
                 digests.append(hashlib.sha256(_cut(text, start, end)).hexdigest())
             if rewrite:
-                texts = [None if gone else x for gone, x in zip(batch["_null"].to_pylist(), texts, strict=True)]
-                made = {text_col: pa.array(texts, pa.string())}
+                made = [pa.array([None if gone else x for gone, x in zip(batch["_null"].to_pylist(), texts, strict=True)], pa.string())]
             else:
-                made = {"_n_bytes": pa.array(sizes, pa.int64()), "_n_removed": pa.array(removed, pa.int64()), "_n_spans": pa.array(counts, pa.int64()), "_kept_sha256": pa.array(digests, pa.string())}
-            names = [f.name for f in schema.fields]
-            yield pa.RecordBatch.from_arrays([made.get(n) if n in made else batch[n] for n in names], names=names)
+                made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch["_row"], *made], names=schema.names)
 
-    return joined.mapInArrow(finish, schema)
+    done = joined.mapInArrow(finish, schema)
+    if rewrite:
+        return done.select(*[F.col("text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
+    return done.select(*unpacked(docs, made_names), *[F.col(c).alias(f"_{c}") for c in schema.names[1:]])

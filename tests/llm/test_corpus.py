@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -63,16 +64,52 @@ def test_suffix_dedup_edges(spark, edge):
     assert suffix_dedup.deduplicate(edge.where("false")).count() == 0
     out = suffix_dedup.deduplicate(edge, rewrite=True)
     assert out.columns == edge.columns and out.where("doc_id = 1 AND text IS NULL").count() == 1
+    assert {r["_k"] for r in out.collect()} == {1} and {r.h for r in out.collect()} == {"k"}
+    words = [("b", "x" * 300, "own"), ("a", "x" * 300, None), (None, "y" * 120, ""), ("a", "x" * 300, None)]
+    named = spark.createDataFrame(words, "doc_id string, text string, _k string").withColumn("_n_bytes", F.lit("mine"))
+    got = suffix_dedup.deduplicate(named).collect()
+    assert sorted((r.doc_id or "", r["_n_removed"], r["_k"] or "") for r in got) == [("", 119, ""), ("a", 299, ""), ("a", 300, ""), ("b", 300, "own")]
+    assert sorted(r.text for r in suffix_dedup.deduplicate(named, rewrite=True).collect()) == ["", "", "x", "y"]
 
 
 def test_quality(spark, edge):
     got = {r.doc_id: r for r in quality_rules.judge(edge, spark.createDataFrame([(5, 1)], "doc_id long, quality long")).collect()}
     assert got[5].n_repeat_words == 300 and got[5].base_failed and got[1].n_words == 0
+    odd = edge.withColumns({"n_words": F.lit("mine"), "_t": F.lit(1), "_row": F.lit(2), "kept": F.lit("?")})
+    rows = quality_rules.judge(odd, spark.createDataFrame([(5, 1), (5, 0), (None, 1)], "doc_id long, quality long")).collect()
+    assert len(rows) == len(EDGE) and {r["_t"] for r in rows} == {1} and {r.n_words for r in rows if r.doc_id == 4} == {2} and {r.kept for r in rows} == {False}
+    assert quality_rules.judge(edge.where("false"), spark.createDataFrame([], "doc_id long, quality long")).count() == 0
     text = "a b c d a b c e\nx\nx\n#$"
     row = quality_rules.features(spark.createDataFrame([(text,)], "text string")).first()
     assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (11, 12, 2, 1, 6)
 
 
+def test_cutoffs(spark):
+    """The smallest cutoff whose exact binomial tail is under the level, per stratum and rate; a rate that ties a cutoff is kept."""
+    rng = random.Random(8)
+    rows = []
+    for lang, n, noisy in (("x", 900, 0.0), ("y", 900, 0.02), ("z", 40, 0.0)):
+        for i in range(n):
+            symbols = rng.choice([0, 6, 6, 11, 30]) if rng.random() < noisy else rng.choice([0, 0, 0, 6])
+            rows.append((f"{lang}{i}", " ".join(f"{lang}{rng.random()}w{k}" for k in range(60)) + "#" * symbols, lang))
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    got = quality_rules.judge(docs, labels).collect()
+    each, grid = quality_rules.RISK / 3, quality_rules.GRIDS["symbol_rate"][2]
+    for lang in "xyz":
+        own = [r for r in got if r.lang == lang]
+        n, passed = len(own), []
+        for c in grid:
+            k = sum(r.n_symbols > c * r.n_words for r in own)
+            if sum(math.comb(n, i) * each**i * (1 - each) ** (n - i) for i in range(k + 1)) <= quality_rules.LEVEL / 9:
+                passed.append(c)
+        want = min(passed, default=None)
+        assert {r.symbol_rate for r in own} == {want}
+        assert all(r.kept == (not (want is not None and r.n_symbols > want * r.n_words)) for r in own)
+    assert {r.symbol_rate for r in got if r.lang == "z"} == {None} and {r.symbol_rate for r in got if r.lang == "x"} == {0.1}
+    assert any(r.n_symbols == 6 and r.n_words == 60 and r.kept for r in got)
+
+
 def test_simhash_edges(spark, edge):
     got = {r.doc_id: r for r in simhash.components(edge, shingle=3).collect()}
     assert got[1].fingerprint == "0" * 16 and got[2].component_id == 1 and got[None].component_id == 4
@@ -290,12 +327,30 @@ def test_media(spark, edge):
             media.decode(bytes(bad))
     docs = edge.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     got = {r.doc_id: r for r in media.digests(media.with_media(docs)).collect()}
+    assert len(got) == len({i for i, _ in EDGE}) and media.with_media(docs.where("false")).count() == 0
+    named = media.with_media(docs.withColumn("media", F.lit("mine")).withColumn("_row", F.lit(3)))
+    assert {r["_row"] for r in named.collect()} == {3} and all(bytes(r.media[:4]) == b"\x89PNG" for r in named.collect())
+    for shape in ((1, 64), (40, 64), (100, 64), (33, 7)):  # the cosine terms, term by term
+        image = rng.integers(0, 256, shape, np.uint8)
+        at = [[i * n // 32 for i in range(33)] for n in shape]
+        mean = lambda a, b: image[a[0] : max(a[1], a[0] + 1), b[0] : max(b[1], b[0] + 1)].mean()
+        small = [[mean(at[0][r : r + 2], at[1][c : c + 2]) for c in range(32)] for r in range(32)]
+        terms = [sum(small[r][c] * math.cos(math.pi / 32 * u * (r + 0.5)) * math.cos(math.pi / 32 * v * (c + 0.5)) for r in range(32) for c in range(32)) for u in range(8) for v in range(8)]
+        middle = sorted(terms[1:])[31]
+        want = sum(1 << (7 - i % 8) << (8 * (7 - i // 8)) for i, t in enumerate(terms) if t > middle + 1e-5)
+        assert media.cosine_hash(image) == want.to_bytes(8, "big")
     assert got[1].payload_bytes == 64 and got[6].payload_sha256 == hashlib.sha256(b"x" * 5000 + bytes(56)).hexdigest()
 
 
 def test_pipeline(spark):
     import corpus_pipeline
 
+    odd = spark.createDataFrame([(i, t, None if i == 4 else "en", "s", 1, "x", 2, "y", 3.0) for i, t in EDGE], "doc_id long, text string, lang string, source string, n_chars long, _k string, _size int, _lang string, _score double")
+    for table in (odd, odd.where("false"), odd.withColumn("text", F.lit(None).cast("string"))):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, DATA)
+            assert out.columns == table.columns and all(r["_size"] == 2 and r["_k"] == "x" for r in out.collect())
+        corpus_pipeline.STAGES[-1][1](spark, table, DATA).collect()
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
