@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import language_id, mixing, packing, simhash, suffix_dedup
-from shelfmark.llm.common import keyed, materialize
+from shelfmark.llm.common import keyed, materialize, packed, unpacked
 from shelfmark.llm.queries import BYTE_BPE, PIECES
 
 #: Lowest posterior of the predicted language for a document to stay.
@@ -17,8 +17,9 @@ SURE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not told (und, or a posterior under SURE) go; lang becomes the prediction."""
     model = language_id.learn(docs, "text", "lang", "doc_id", public_tokenizers.path(PIECES))
-    found = language_id.predict(docs, model, language="_lang", score="_score")
-    return found.where((F.col("_lang") != "und") & (F.col("_score") >= SURE)).withColumn("lang", F.col("_lang")).select(*docs.columns)
+    found = language_id.predict(docs.select(packed(docs), "text"), model, language="_lang", score="_score")
+    sure = found.where((F.col("_lang") != "und") & (F.col("_score") >= SURE))
+    return sure.select(*[F.col("_lang").alias(c) if c == "lang" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     SimHash blocks join the texts within three bits; texts at 0.8 that these don't reach meet by smallest hashes.
     """
-    known = keyed(docs)
-    groups = simhash.similar_components(known, "_k", "text", shingle=5, similarity=0.8)
-    return known.join(groups.where("_k = component_id").select("_k"), "_k", "left_semi").select(*docs.columns)
+    known = keyed(docs.select(packed(docs), F.col("doc_id").alias("_id"), F.col("text").alias("_t")), "_id", "_t")
+    groups = simhash.similar_components(known, "_k", "_t", shingle=5, similarity=0.8)
+    return known.join(groups.where("_k = component_id").select("_k"), "_k", "left_semi").select(*unpacked(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs).where("_taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_taken") / F.col("_size")).cast("int"))))
-    return mixed.select(*docs.columns)
+    mixed = mixing.mix(docs.select(packed(docs), "doc_id", "text", "source")).where("_taken > 0")
+    copies = F.sequence(F.lit(1), (F.col("_taken") / F.col("_size")).cast("int"))
+    return mixed.select("_row", F.explode(copies)).select(*unpacked(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
