@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +72,40 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key:
     return materialize(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What a Python worker keeps from task to task; it holds one thing at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _trim(key) -> None:
+    """Give memory back to the system, that of what other operators have left in this worker too."""
+    if key not in _held:
+        _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, key=None) -> DataFrame:
+    """df.mapInArrow(run, schema) whose workers, which Spark uses again, don't keep the memory of a task; key: what run holds."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _trim(key)
+        try:
+            yield from run(batches)
+        finally:
+            _trim(key)
+
+    return df.mapInArrow(whole, schema)
+
+
 def words_of(text) -> F.Column:
     """Native array of the words [^\\x20\\x09-\\x0D]+ of a text column; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, held, mapped
 
 #: About so many texts of each language, none over so many bytes, are learned from.
 SAMPLE, SAMPLE_BYTES = 300, 100_000
@@ -245,9 +245,6 @@ class _Scorer:
         return np.array([table[[known[w] for w in ws]].sum(axis=0) if ws else np.zeros(table.shape[1]) for ws in split])
 
 
-_scorers: dict[int, _Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", *, language: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its posterior probability under equal priors."""
     spark = docs.sparkSession
@@ -259,10 +256,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", *, lan
     rows = docs.select(F.struct(*map(column, names)).alias("row") if names else F.lit(None).alias("row"), column(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(shared.value)
-        scorer = _scorers[key]
+        scorer = held(("language", key), lambda: _Scorer(shared.value))
         for batch in batches:
             texts = batch["text"].to_pylist()
             languages, scores = ["und"] * len(texts), np.zeros(len(texts))
@@ -281,5 +275,5 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", *, lan
                 scores[part] = 1 / odds.sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(languages, pa.string()), pa.array(scores)], names=["row", "language", "score"])
 
-    made = rows.mapInArrow(run, rows.select("row").withColumns({"language": F.lit(""), "score": F.lit(0.0)}).schema)
+    made = mapped(rows, run, rows.select("row").withColumns({"language": F.lit(""), "score": F.lit(0.0)}).schema, ("language", key))
     return made.select(*[F.col("row")[c].alias(c) for c in names], F.col("language").alias(language), F.col("score").alias(score))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, keyed, materialize
+from .common import SPACES, keyed, mapped, materialize
 
 #: Most tokens in the head; classes of the head and of all others; hashed features of each kind.
 HEAD, HEAD_CLASSES, TAIL_CLASSES, FEATURES = 1 << 17, 24, 8, 1 << 13
@@ -178,8 +178,8 @@ def train(texts: DataFrame, vocabulary, rounds: int = 1) -> np.ndarray:
                 mean = (w / np.maximum(n, 1)[:, None]).astype(np.float32)
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "mean": pa.array([mean.tobytes()])})
 
-        parts = texts.mapInArrow(run, "slice int, at binary, seen binary, sums binary").repartition(SLICES, "slice")
-        for k, mean in parts.mapInArrow(add, "slice int, mean binary").collect():
+        parts = mapped(texts, run, "slice int, at binary, seen binary, sums binary").repartition(SLICES, "slice")
+        for k, mean in mapped(parts, add, "slice int, mean binary").collect():
             weights[k::SLICES] = np.frombuffer(mean, np.float32).reshape(-1, CLASSES)
     return weights
 
@@ -249,7 +249,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 done += len(part)
             yield pa.RecordBatch.from_pydict({"_k": pa.array(out["_k"], pa.int64()), "token": pa.array(out["token"], pa.binary()), "n": pa.array(out["n"], pa.int64()), "base": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
 
-    scanned = materialize(source.select("_k", F.coalesce("_text", F.lit("")).cast("binary").alias("_b")).mapInArrow(run, "_k long, token binary, n long, base double, score double"), "scored")
+    scanned = materialize(mapped(source.select("_k", F.coalesce("_text", F.lit("")).cast("binary").alias("_b")), run, "_k long, token binary, n long, base double, score double"), "scored")
     rare = scanned.where("token IS NOT NULL").join(tail.select(F.col("token").cast("binary").alias("token"), F.col("count").alias("c")), "token", "left")
     part = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     rare = rare.select("_k", F.col("n").alias("all"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"), part.alias("base"), part.alias("score"))

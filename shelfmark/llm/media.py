@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, packed
+from .common import column, mapped, packed
 
 WIDTH = 64
 #: Fixed value: the format's signature.
@@ -135,7 +135,7 @@ def with_media(docs: DataFrame, text_col: str = "text", *, media: str = "media",
             hashes = [cosine_hash(decode(x)) for x in images]
             yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(images, pa.binary()), pa.array(hashes, pa.binary())], names=["_row", "media", "hash"])
 
-    made = rows.mapInArrow(run, rows.select("_row").withColumns({"media": F.lit(b""), "hash": F.lit(b"")}).schema)
+    made = mapped(rows, run, rows.select("_row").withColumns({"media": F.lit(b""), "hash": F.lit(b"")}).schema)
     return made.select(*[F.col("_row")[c].alias(c) for c in names], F.col("media").alias(media), F.col("hash").alias(feature))
 
 
@@ -152,4 +152,4 @@ def digests(stored: DataFrame, id_col: str = "doc_id", n_bytes: str = "n_bytes",
             made = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([batch[id_col], batch[n_bytes], *(pa.array(list(v), f) for v, f in zip(made, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=schema.names)
 
-    return stored.select(id_col, n_bytes, media, feature).mapInArrow(run, schema)
+    return mapped(stored.select(id_col, n_bytes, media, feature), run, schema)

@@ -95,23 +95,21 @@ def cheapest_flow(patterns: dict, quotas: dict, copies: int = COPIES) -> dict:
 
 
 def _round(rows: DataFrame, state: DataFrame) -> list:
-    """(pattern, words taken, last document taken) of the longest run of documents behind `_last`, none over the gap, that fits it."""
+    """(pattern, last document taken, words taken) of the longest run of documents behind `_last`, none over the gap, that fits it."""
+    spark = rows.sparkSession
     bucket = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")
-    left = rows.join(F.broadcast(state), "_pattern").where((F.col("_size") <= F.col("_gap")) & (F.struct("_order", "_size") > F.col("_last")))
-    left = left.select("_pattern", "_order", "_size", "_gap", bucket.alias("_bucket"))
-    sums = left.groupBy("_pattern", "_gap", "_bucket").agg(F.sum("_size").alias("_sum"))
-    before = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where("_before < _gap")
-    edges = sums.groupBy("_pattern").agg(F.max(F.struct("_bucket", "_before")).alias("e")).select("_pattern", "e.*")
-    edges = materialize(edges, "edges")
-    # of the bucket in which the gap is filled, documents one by one; of those before it, the last one
-    inner = left.join(F.broadcast(edges), ["_pattern", "_bucket"])
+    me = F.struct("_order", "_size")
+    left = rows.join(F.broadcast(state), "_pattern").where((F.col("_size") <= F.col("_gap")) & (me > F.col("_last"))).withColumn("_bucket", bucket)
+    sums = left.groupBy("_pattern", "_gap", "_bucket").agg(F.sum("_size").alias("_sum"), F.max(me).alias("_at"))
+    ahead = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_sum").over(ahead), F.lit(0)), "_prior": F.max("_at").over(ahead)}).where("_before < _gap")
+    edges = sums.groupBy("_pattern").agg(F.max(F.struct("_bucket", "_before", "_prior")).alias("e")).select("_pattern", "e.*").collect()  # a row a pattern
+    # the gap is filled in the last of these buckets; its documents are counted one by one
+    table = F.broadcast(spark.createDataFrame(edges, "_pattern string, _bucket int, _before long, _prior struct<_order: string, _size: long>"))
     so_far = Window.partitionBy("_pattern").orderBy("_order", "_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = inner.withColumn("_got", F.col("_before") + F.sum("_size").over(so_far)).where("_got <= _gap")
-    inner = inner.groupBy("_pattern").agg(F.max(F.struct("_order", "_size")).alias("_at"), F.max("_got").alias("_got"))
-    ahead = left.join(F.broadcast(edges.withColumnRenamed("_bucket", "_edge")), "_pattern").where("_bucket < _edge")
-    ahead = ahead.groupBy("_pattern").agg(F.max(F.struct("_order", "_size")).alias("_at"), F.max("_before").alias("_got"))
-    return inner.unionByName(ahead).groupBy("_pattern").agg(F.max("_at").alias("_at"), F.max("_got").alias("_got")).collect()  # a row a pattern
+    inner = left.join(table, ["_pattern", "_bucket"]).select("_pattern", "_order", "_size", "_gap", (F.col("_before") + F.sum("_size").over(so_far)).alias("_got")).where("_got <= _gap")
+    ends = {r[0]: (r[1], r[2]) for r in inner.groupBy("_pattern").agg(F.max(me), F.max("_got")).collect()}
+    return [(p, *ends.get(p, (prior, before))) for p, _, before, prior in edges if p in ends or prior is not None]
 
 
 _STATE = "_pattern string, _gap long, _last struct<_order: string, _size: long>"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import held, mapped, materialize
 from .token_counts import byte_symbols
 
 #: Most strings that a worker keeps the ids of, and the longest such string in characters.
@@ -87,17 +87,13 @@ class Encoder:
         return [done[i] if i in done else b"".join(map(of, parts)) for i, parts in enumerate(split)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, text_col: str = "text") -> DataFrame:
     """docs without the text, a row for each piece: piece, start, length, ids_crc32."""
     kept = [c for c in docs.columns if c != text_col]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
+        encoder = held(("encoder", path), lambda: Encoder(path))
         for batch in batches:
             texts = [x or "" for x in batch[text_col].to_pylist()]
             rows, i = [], 0
@@ -106,7 +102,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, te
                 while j < len(texts) and size < 1 << 20:
                     size += len(texts[j])
                     j += 1
-                for k, ids in zip(range(i, j), _encoders[path].texts(texts[i:j]), strict=True):
+                for k, ids in zip(range(i, j), encoder.texts(texts[i:j]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n, capacity), n]
@@ -117,7 +113,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, te
                 yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(of)) for c in kept), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=[*kept, "piece", "start", "length", "ids_crc32"])
 
     schema = docs.select(*kept).withColumns({"piece": F.lit(0)} | {c: F.lit(0).cast("long") for c in ("start", "length", "ids_crc32")}).schema
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema, ("encoder", path))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -199,4 +195,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_c
             at = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(row[:, 3] + at // row[:, 4]), pa.array(row[:, 5] + at % row[:, 4] * size)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ranked.drop("_rank").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
+    return mapped(ranked, place, ranked.drop("_rank").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize
+from .common import column, mapped, materialize
 from .components import connected_components
 
 MOST = 4096
@@ -80,7 +80,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 5,
             found = np.array([fingerprint(b, shingle) for b in batch["_b"].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(found)], names=[*kept, name])
 
-    return source.mapInArrow(run, docs.select(*kept).withColumn(name, F.lit(0).cast("long")).schema)
+    return mapped(source, run, docs.select(*kept).withColumn(name, F.lit(0).cast("long")).schema)
 
 
 def _masks(free: list[int]) -> list[int]:
@@ -141,7 +141,7 @@ def _level(keys: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
     twos = sizes.where("n = 2 AND bit_count(u ^ v) <= 3").select("u", "v")
     usual = sizes.where("n > 2" + (f" AND n <= {most}" if most else "")).select("mask", "key")
     groups = keys.join(usual, ["mask", "key"]).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    links = twos.unionByName(groups.mapInArrow(_verify, "u long, v long"))
+    links = twos.unionByName(mapped(groups, _verify, "u long, v long"))
     return links, keys.join(sizes.where(f"n > {most}").select("mask", "key"), ["mask", "key"], "left_semi") if most else None
 
 
@@ -202,7 +202,7 @@ def _with_minima(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(prints), lists, pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.int32()), pa.array(simhashes)], names=[id_col, "fp", "keys", "lanes", "size", "simhash"])
 
     source = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_b"))
-    return source.mapInArrow(run, docs.select(id_col).withColumns({"fp": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long")), "lanes": F.lit(b""), "size": F.lit(0), "simhash": F.lit(0).cast("long")}).schema)
+    return mapped(source, run, docs.select(id_col).withColumns({"fp": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long")), "lanes": F.lit(b""), "size": F.lit(0), "simhash": F.lit(0).cast("long")}).schema)
 
 
 def _cosine(both: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
@@ -271,7 +271,7 @@ def _forests(groups: DataFrame, similarity: float) -> DataFrame:
                         n += [_signed(number)] * len(fps)
                 yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "unsure": pa.array(n, pa.int64())})
 
-    return groups.select("members").mapInArrow(run, "u long, v long, unsure long")
+    return mapped(groups.select("members"), run, "u long, v long, unsure long")
 
 
 def exact_links(prints: np.ndarray, trees: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -323,8 +323,8 @@ def _exact(unsure: DataFrame, docs: DataFrame, lows: DataFrame, id_col: str, tex
 
     ids = materialize(lows.join(unsure.select("fp").distinct(), "fp", "left_semi").select("low").distinct(), "unsure-ids")
     texts = docs.join(ids, docs[id_col].eqNullSafe(ids.low), "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_b"))
-    members = unsure.join(texts.mapInArrow(sets, "fp long, set binary"), "fp").groupBy("unsure").agg(F.collect_list(F.struct("fp", "tree", "set")).alias("members"))
-    return members.select("members").mapInArrow(decide, "u long, v long")
+    members = unsure.join(mapped(texts, sets, "fp long, set binary"), "fp").groupBy("unsure").agg(F.collect_list(F.struct("fp", "tree", "set")).alias("members"))
+    return mapped(members.select("members"), decide, "u long, v long")
 
 
 def _gather(rows: DataFrame, lanes: DataFrame, *chunk: str) -> DataFrame:

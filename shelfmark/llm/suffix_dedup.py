@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keyed, materialize, merged, packed, unpacked
+from .common import column, keyed, mapped, materialize, merged, packed, unpacked
 from .suffix_array import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -289,25 +289,25 @@ _CONTEXT = "h long, k long, pos long, left long, body binary"
 
 def covered_spans(keyed_docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(k, start, end): spans of repeated bytes, overlapping ones among them, of documents (_k, _b binary)."""
-    rows = keyed_docs.select("_k", "_b").mapInArrow(_scan, "h long, ctx long, k long, pos long, fresh boolean")
-    found = rows.repartition("h").sortWithinPartitions("h", "fresh", "ctx", "k", "pos").mapInArrow(_first_contexts, "h long, k long, start long, end long, open boolean")
+    rows = mapped(keyed_docs.select("_k", "_b"), _scan, "h long, ctx long, k long, pos long, fresh boolean")
+    found = mapped(rows.repartition("h").sortWithinPartitions("h", "fresh", "ctx", "k", "pos"), _first_contexts, "h long, k long, start long, end long, open boolean")
     found = materialize(found, "anchors")
     covered = found.where("NOT open").select("k", "start", "end")
     opened = found.where("open")
     hot_keys = opened.groupBy("h").count().where(F.col("count") > hot).select("h")
     by_doc = opened.groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct(F.col("start").alias("pos"), "h")).alias("_open"))
-    contexts = keyed_docs.select("_k", "_b").join(by_doc, "_k").select("_k", "_b", "_open").mapInArrow(_contexts, _CONTEXT)
+    contexts = mapped(keyed_docs.select("_k", "_b").join(by_doc, "_k").select("_k", "_b", "_open"), _contexts, _CONTEXT)
     if hot_keys.isEmpty():
         usual = contexts
     else:
         contexts, hot_keys = materialize(contexts, "contexts"), materialize(hot_keys, "hot")
         usual = contexts.join(hot_keys, "h", "left_anti").select("h", "k", "pos", "left", "body")
-        windows = contexts.join(hot_keys, "h", "left_semi").select("h", "k", "pos", "left", "body").mapInArrow(_windows, "a long, b long, k long, start long")
+        windows = mapped(contexts.join(hot_keys, "h", "left_semi").select("h", "k", "pos", "left", "body"), _windows, "a long, b long, k long, start long")
         windows = materialize(windows, "windows")
         first = windows.groupBy("a", "b").agg(F.min(F.struct("k", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
         late = windows.join(first, ["a", "b"]).where(F.struct("k", "start") > F.col("first"))
         covered = covered.unionByName(late.select("k", "start", (F.col("start") + LENGTH).alias("end")))
-    compared = usual.repartition("h").sortWithinPartitions("h", "k", "pos").mapInArrow(_compare, "k long, start long, end long")
+    compared = mapped(usual.repartition("h").sortWithinPartitions("h", "k", "pos"), _compare, "k long, start long, end long")
     return covered.unionByName(compared)
 
 
@@ -363,7 +363,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([batch["_row"], *made], names=schema.names)
 
-    done = joined.mapInArrow(finish, schema)
+    done = mapped(joined, finish, schema)
     if rewrite:
         return done.select(*[F.col("text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
     return done.select(*unpacked(docs, made_names), *[F.col(c).alias(f"_{c}") for c in schema.names[1:]])

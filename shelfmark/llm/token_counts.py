@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, held, mapped
 
 #: White space of the vocabulary's normaliser and its split pattern.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -144,20 +144,15 @@ class Counter:
         return sum(map(self.plain, parts)) + len(parts) - 1
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(path)
-        counter = _counters[path]
+        counter = held(("counts", path), lambda: Counter(path))
         for batch in batches:
             counts = [counter.text(x) for x in batch["_t"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["n_bytes"], pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(column(text_col), F.lit(""))
     source = docs.select(column(id_col).alias("_id"), text.alias("_t"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return source.mapInArrow(run, docs.select(column(id_col)).withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(True)}).schema)
+    return mapped(source, run, docs.select(column(id_col)).withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(True)}).schema, ("counts", path))
