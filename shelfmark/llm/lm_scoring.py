@@ -1,19 +1,24 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-A token's probability is P(class | history) * P(token | class). The classes of the most frequent tokens
-(the head, a bounded number) are bins of about equal frequency; any other token's class is given by
-its CRC-32, unknown tokens' too. P(class | history) is a softmax over a bias and hashed features: the
-token before, the two tokens before, and the token before the last one (a skip). P(token | class) is
-the smoothed frequency within the class, so a text's probability is a proper one.
-
-Counts cover all training texts. Weights are trained by distributed gradient updates: each task runs
-AdaGrad over its own texts, and the tasks' weights are averaged by how often each feature was seen,
-slice by slice on the executors; only the averaged model, of fixed size, reaches the driver. Scoring
-is numpy over batches of sparse features. Counts of tokens outside the head reach the texts by a
-join on the token, so nothing broadcast grows with the corpus.
+A token's probability is P(class | history) * P(subclass | class, history) * P(token | subclass, history): three
+softmaxes over a bias and hashed features of the history. The features are the token before, the two tokens before, and
+the token before the last one (a skip); the class sees all three, the finer softmaxes the n-grams. The classes of the
+most frequent tokens (the head, a bounded number) are runs of the tokens in the order of their endings. Any other
+token's class is given by its CRC-32, unknown tokens' too, and within that class it has its smoothed frequency, so a
+text's probability is a proper one.
+
+Counts cover all training texts. Weights are trained by distributed gradient updates. A round's gradient of the
+log-likelihood is, for each weight, how often its feature was seen with its outcome less how often the model expects
+that; each task sums it over its own texts, parts of the tables are added up on the executors in two steps (so that
+no reducer hears from every task), and each weight goes along its gradient, scaled by the expectation and damped by a
+logarithm. The first round starts from the frequencies, where the expectation needs no softmax: all its sums are
+integers, so the model doesn't depend on how the texts are dealt to tasks. Only the weights, tables of fixed size,
+reach the driver. Scoring is numpy over batches of sparse features. Counts of tokens outside the head reach the
+texts by a join on the token, so nothing broadcast grows with the corpus.
 
 Edge cases. A null or empty text is its end token alone; an empty training set leaves a
-uniform model over one unknown token a class; repeated and null ids get a row each.
+uniform model over one unknown token a class; repeated and null ids, and ids of any type, get a row each; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,47 +30,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, keyed, mapped, materialize
-
-#: Most tokens in the head; classes of the head and of all others; hashed features of each kind.
-HEAD, HEAD_CLASSES, TAIL_CLASSES, FEATURES = 1 << 17, 24, 8, 1 << 13
-CLASSES = HEAD_CLASSES + TAIL_CLASSES
-KINDS, SLICES, STEP, RATE = 3, 32, 8192, 0.1
+from .common import SPACES, column, keyed, mapped, materialize
+
+#: Classes of the head and of all other tokens; subclasses of a class and tokens of a subclass at most; most tokens in the head.
+HEAD_CLASSES, TAIL_CLASSES, WIDE = 24, 8, 64
+CLASSES, HEAD = HEAD_CLASSES + TAIL_CLASSES, HEAD_CLASSES * WIDE * WIDE
+#: Of each softmax the kinds of features, the nodes it is for, the hashed features of a kind for a node, and the outcomes.
+LEVELS = ((3, 1, 1 << 13, CLASSES), (2, HEAD_CLASSES, 1 << 10, WIDE), (2, HEAD_CLASSES * WIDE, 1 << 6, WIDE))
+#: How far a weight goes along its gradient, and what is added to its expectation.
+RATE, PRIOR = 0.6, 0.5
+STEP = 4096
+#: Parts of each table, and of the tasks, in which gradients are added up.
+SLICES, PARTS = 16, 64
 #: The end token, which no text can hold.
 END = b"\n"
 _U = np.uint64
 
 
 class Vocabulary:
-    """Head tokens with their classes and base-10 log probabilities, and what is known of the whole vocabulary."""
-
-    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, tails: dict[int, tuple[int, int]]):
-        head.sort(key=lambda x: (-x[1], x[0]))
-        self.total, self.distinct = total, distinct
-        counts = np.array([n for _, n in head], np.float64)
-        mass = np.cumsum(counts) - counts
-        of = np.minimum((mass / max(counts.sum(), 1) * HEAD_CLASSES).astype(np.int64), HEAD_CLASSES - 1)
-        sums, members = np.bincount(of, counts, CLASSES), np.bincount(of, minlength=CLASSES)
+    """Head tokens with their classes and counts, and what is known of the whole vocabulary.
+
+    A head token's place in the tree is its number: tokens are numbered by their endings, and each class and
+    subclass is a run of numbers.
+    """
+
+    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, tails: dict[int, tuple[int, int]], levels: tuple = LEVELS):
+        head.sort(key=lambda x: x[0][::-1])
+        self.total, self.distinct, self.levels = total, distinct, levels
+        self.ids = {w: i for i, (w, _) in enumerate(head)}
+        self.counts = np.array([n for _, n in head], np.float64)
+        self.per_class = max(1, -(-len(head) // HEAD_CLASSES))
+        self.per_subclass = max(1, -(-self.per_class // WIDE))
+        sums, members = np.zeros(CLASSES), np.zeros(CLASSES)
         for c, (n, v) in tails.items():
             sums[HEAD_CLASSES + c], members[HEAD_CLASSES + c] = n, v
         members[HEAD_CLASSES:] += 1  # for unknown tokens
-        self.ids = {w: i for i, (w, _) in enumerate(head)}
-        self.classes = of.astype(np.int32)
         self.room = sums + 0.5 * members
+        mass = [self.room.copy(), np.zeros((HEAD_CLASSES, WIDE)), np.zeros((HEAD_CLASSES * WIDE, WIDE))]
+        c, s, t = self.path(np.arange(len(head)))
+        for table, at in ((mass[0], c), (mass[1], (c, s)), (mass[2], (c * WIDE + s, t))):
+            np.add.at(table, at, self.counts + 0.5)
+        self.shares = [m.reshape(-1, m.shape[-1]) / np.maximum(m.sum(axis=-1, keepdims=True), 1e-300).reshape(-1, 1) for m in mass]
+        with np.errstate(divide="ignore"):
+            self.bias = [np.log(p).astype(np.float32) for p in self.shares]
         self.base_room = math.log10(total + 0.5 * (distinct + 1))
-        self.counts = counts
-        self.within = np.log10((counts + 0.5) / np.maximum(self.room, 0.5)[of]) if len(of) else counts
-        self.bias = np.log((sums + 0.5 * members + 1e-6) / (sums + 0.5 * members + 1e-6).sum()).astype(np.float32)
-        self.base = np.log10(counts + 0.5)
+        self.base = np.log10(self.counts + 0.5)
+
+    def path(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, subclass in it and place in that of head tokens."""
+        c, rest = np.divmod(ids, self.per_class)
+        return c, *np.divmod(rest, self.per_subclass)
 
     def lists(self, texts: list[bytes | None]) -> list[list[bytes]]:
         return [[*(t or b"").lower().split(), END] for t in texts]
 
     def arrays(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts' tokens in a row: ids (over the head: from the CRC-32), classes, and where texts start."""
+        """Of all texts' tokens in a row: ids (over the head: from the CRC-32), the CRC class of others, and where texts start."""
         get, size = self.ids.get, len(self.ids)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter((get(t, -1) for ts in lists for t in ts), np.int64, sizes.sum())
@@ -73,59 +98,65 @@ class Vocabulary:
         flat = [t for ts in lists for t in ts] if len(rest) else []
         crc = np.fromiter((zlib.crc32(flat[i]) for i in rest.tolist()), np.int64, len(rest))
         ids[rest] = size + (crc & 0xFFFF)
-        classes = np.empty(len(ids), np.int32)
-        head = ids < size
-        classes[head] = self.classes[ids[head]]
-        classes[rest] = HEAD_CLASSES + crc % TAIL_CLASSES
-        return ids, classes, np.cumsum(sizes) - sizes
+        tail = np.zeros(len(ids), np.int64)
+        tail[rest] = HEAD_CLASSES + crc % TAIL_CLASSES
+        return ids, tail, np.cumsum(sizes) - sizes
+
+    def outcomes(self, ids: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(the class of each token, which are of the head, and for these the node and outcome of the finer softmaxes)."""
+        head = np.flatnonzero(ids < len(self.ids))
+        c, s, t = self.path(ids[head])
+        classes = tail.copy()
+        classes[head] = c
+        return classes, head, [(c, s), (c * WIDE + s, t)]
 
 
-def features(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashed features [token, kind] of each token's history; texts begin with two empty tokens."""
+def hashes(ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each token's history by kind of feature; texts begin with two empty tokens."""
     before = np.concatenate(([-1], ids[:-1]))
     before[starts] = -1
     skipped = np.concatenate(([-2], before[:-1]))
     skipped[starts] = -2
-    out = np.empty((len(ids), KINDS), np.int64)
+    out = []
     for k, x in enumerate((before, before * 1_000_003 + skipped, skipped)):
         h = (x.view(_U) + _U(k + 1)) * _U(0x9E3779B97F4A7C15)
-        out[:, k] = ((h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93) >> _U(40)) % _U(FEATURES) + _U(k * FEATURES)
+        out.append(((h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93) >> _U(40)).view(np.int64))
     return out
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    x = weights[f[:, 0]]
-    for k in range(1, KINDS):
-        x += weights[f[:, k]]
-    x += bias
+def rows_of(level: tuple, kind: int, node: np.ndarray | int, h: np.ndarray) -> np.ndarray:
+    """Rows of a level's table: of each kind and node a block of hashed features."""
+    _, nodes, features, _ = level
+    return (kind * nodes + node) * features + h % features
+
+
+def _each(v: Vocabulary, ids: np.ndarray, tail: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(level, tokens, rows by kind, nodes, outcomes) of the tokens in a row."""
+    h = hashes(ids, starts)
+    classes, head, finer = v.outcomes(ids, tail)
+    yield 0, np.arange(len(ids)), [rows_of(v.levels[0], k, 0, h[k]) for k in range(v.levels[0][0])], np.zeros(len(ids), np.int64), classes
+    for level, (node, outcome) in enumerate(finer, 1):
+        yield level, head, [rows_of(v.levels[level], k, node, h[k][head]) for k in range(v.levels[level][0])], node, outcome
+
+
+def tables(levels: tuple, kind) -> list[np.ndarray]:
+    return [np.zeros((kinds * nodes * features, wide), kind) for kinds, nodes, features, wide in levels]
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+    """Logarithms of a softmax's probabilities [token, outcome]."""
+    x = weights[rows[0]]
+    for r in rows[1:]:
+        x += weights[r]
+    x += bias[node]
     x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
     return x
 
 
-class Trainer:
-    """AdaGrad over batches of tokens; the weights [feature, class] start from the given ones."""
-
-    def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.weights, self.bias = weights.copy(), bias
-        self.squares = np.zeros(len(weights), np.float32)
-        self.seen = np.zeros(len(weights), np.int64)
-
-    def update(self, f: np.ndarray, classes: np.ndarray) -> None:
-        p = _logits(self.weights, self.bias, f)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), classes] -= 1
-        for k in range(KINDS):
-            order = np.argsort(f[:, k], kind="stable")
-            at = f[order, k]
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            sums = np.add.reduceat(p[order], first, axis=0)
-            at = at[first]
-            n = np.diff(np.append(first, len(order)))
-            self.seen[at] += n
-            sums /= np.sqrt(n)[:, None]
-            self.squares[at] += np.square(sums).mean(axis=1)
-            self.weights[at] -= RATE * sums / np.sqrt(self.squares[at] + 1e-3)[:, None]
+def moved(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Weights after an update: along the gradient (seen - expected), scaled and damped."""
+    return weights + RATE * np.log1p((seen - expected) / (expected + PRIOR))
 
 
 def _slabs(lists: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
@@ -141,59 +172,104 @@ def _slabs(lists: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
         yield part
 
 
-def train(texts: DataFrame, vocabulary, rounds: int = 1) -> np.ndarray:
-    """Weights after `rounds` passes over the texts (one binary column _b); vocabulary: a broadcast Vocabulary."""
-    spark = texts.sparkSession
-    weights = np.zeros((KINDS * FEATURES, CLASSES), np.float32)
-    for _ in range(rounds):
-        start = spark.sparkContext.broadcast(weights)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v, trainer = vocabulary.value, None
-            for batch in batches:
-                if trainer is None:
-                    trainer = Trainer(start.value, v.bias)
-                for part in _slabs(v.lists(batch["_b"].to_pylist())):
-                    ids, classes, starts = v.arrays(part)
-                    f = features(ids, starts)
-                    for i in range(0, len(ids), STEP):
-                        trainer.update(f[i : i + STEP], classes[i : i + STEP])
-            if trainer is not None:
-                for k in range(SLICES):
-                    seen = trainer.seen[k::SLICES]
-                    at = np.flatnonzero(seen)
-                    sums = trainer.weights[k::SLICES][at] * seen[at, None].astype(np.float32)
-                    yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "at": pa.array([at.astype(np.int32).tobytes()]), "seen": pa.array([seen[at].tobytes()]), "sums": pa.array([sums.tobytes()])})
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for k, at, seen, w in zip(*(batch[c].to_pylist() for c in ("slice", "at", "seen", "sums")), strict=True):
-                    n = len(range(k, KINDS * FEATURES, SLICES))
-                    total = sums.setdefault(k, (np.zeros((n, CLASSES)), np.zeros(n)))
-                    at = np.frombuffer(at, np.int32)
-                    total[0][at] += np.frombuffer(w, np.float32).reshape(-1, CLASSES)
-                    total[1][at] += np.frombuffer(seen, np.int64)
-            for k, (w, n) in sums.items():
-                mean = (w / np.maximum(n, 1)[:, None]).astype(np.float32)
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "mean": pa.array([mean.tobytes()])})
-
-        parts = mapped(texts, run, "slice int, at binary, seen binary, sums binary").repartition(SLICES, "slice")
-        for k, mean in mapped(parts, add, "slice int, mean binary").collect():
-            weights[k::SLICES] = np.frombuffer(mean, np.float32).reshape(-1, CLASSES)
+def _packed(values: np.ndarray) -> bytes:
+    """Small counts as compressed bytes."""
+    wide = np.uint8 if not values.size or values.max() < 256 else np.uint64
+    return bytes([wide().itemsize]) + zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values, wide).tobytes())
+
+
+def _unpacked(data: bytes, dtype=None) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data[1:])
+    return np.frombuffer(raw, dtype or (np.uint8 if data[0] == 1 else np.uint64))
+
+
+def _slice(level: tuple, k: int) -> slice:
+    """The k-th part of a level's rows."""
+    n = level[0] * level[1] * level[2]
+    return slice(n * k // SLICES, n * (k + 1) // SLICES)
+
+
+def _summed(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Sums of blobs with equal keys, from rows sorted by key; one sum is held at a time."""
+    key, total = None, None
+    for batch in batches:
+        for *now, blob in zip(*(batch[c].to_pylist() for c in (*by, "blob")), strict=True):
+            values = _unpacked(blob)
+            if tuple(now) != key:
+                if key is not None:
+                    yield key, total
+                key, total = tuple(now), values.astype(np.uint64)
+            else:
+                total += values
+    if key is not None:
+        yield key, total
+
+
+def train(texts: DataFrame, vocabulary) -> list[np.ndarray]:
+    """Weights after an update from the frequencies, by the gradient over all texts (one binary column _b); vocabulary: a broadcast Vocabulary."""
+    schema, levels = "level int, slice int, part int, blob binary", vocabulary.value.levels
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, seen = vocabulary.value, tables(levels, np.int32)
+        for batch in batches:
+            for part in _slabs(v.lists(batch["_b"].to_pylist())):
+                for level, _, rows, _, outcome in _each(v, *v.arrays(part)):
+                    flat = seen[level].reshape(-1)
+                    for r in rows:
+                        np.add.at(flat, r * levels[level][3] + outcome, 1)
+        part = TaskContext.get().partitionId() % PARTS
+        for level in range(len(levels)):
+            blobs = [(k, _packed(x)) for k in range(SLICES) if (x := seen[level][_slice(levels[level], k)]).any()]
+            if blobs:
+                n = len(blobs)
+                yield pa.RecordBatch.from_pydict({"level": pa.array([level] * n, pa.int32()), "slice": pa.array([k for k, _ in blobs], pa.int32()), "part": pa.array([part] * n, pa.int32()), "blob": pa.array([b for _, b in blobs], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (level, k, part), total in _summed(batches, "level", "slice", "part"):
+            yield pa.RecordBatch.from_pydict({"level": pa.array([level], pa.int32()), "slice": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "blob": pa.array([_packed(total)], pa.binary())})
+
+    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        for (level, k), total in _summed(batches, "level", "slice"):
+            kinds, nodes, features, wide = levels[level]
+            seen = total.reshape(-1, wide).astype(np.float64)
+            rows = np.arange(kinds * nodes * features)[_slice(levels[level], k)]
+            expected = seen.sum(axis=1, keepdims=True) * v.shares[level][rows // features % nodes]
+            new = moved(np.zeros_like(seen), seen, expected).astype(np.float16)
+            yield pa.RecordBatch.from_pydict({"level": pa.array([level], pa.int32()), "slice": pa.array([k], pa.int32()), "blob": pa.array([new.tobytes()], pa.binary())})
+
+    parts = mapped(texts, count, schema).repartition("level", "slice", "part").sortWithinPartitions("level", "slice", "part")
+    parts = mapped(parts, add, schema).repartition("level", "slice").sortWithinPartitions("level", "slice")
+    weights = tables(levels, np.float16)
+    for level, k, blob in mapped(parts, update, "level int, slice int, blob binary").toLocalIterator():
+        weights[level][_slice(levels[level], k)] = np.frombuffer(blob, np.float16).reshape(-1, levels[level][3])
     return weights
 
 
+def log_probabilities(v: Vocabulary, weights: list[np.ndarray], ids: np.ndarray, tail: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Base-10 logarithms of each token's probability; of tail tokens that of their class, with its room taken off."""
+    logs = np.zeros(len(ids))
+    for level, tokens, rows, node, outcome in _each(v, ids, tail, starts):
+        for i in range(0, len(tokens), STEP):
+            part = slice(i, i + STEP)
+            x = log_softmax(weights[level], v.bias[level], [r[part] for r in rows], node[part])
+            logs[tokens[part]] += x[np.arange(len(x)), outcome[part]]
+    logs /= math.log(10)
+    rest = np.flatnonzero(ids >= len(v.ids))
+    logs[rest] -= np.log10(v.room[tail[rest]])
+    return logs
+
+
 def _tokens(text: Column) -> Column:
     """Native tokens as binary; the end token is a line feed."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.concat(F.filter(F.split(lower, f"[{SPACES}]+"), lambda w: w != ""), F.array(F.lit("\n")))
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), learned from the rows that aren't held out."""
     spark = docs.sparkSession
-    source = keyed(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias("_id"), "_k", F.coalesce(held_out, F.lit(False)).alias("_held"), F.col(text_col).alias("_text"))
+    source = keyed(docs.select(column(id_col).alias("_id"), column(text_col).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held")), "_id", "_text")
     training = source.where("NOT _held")
     counts = materialize(training.select(F.explode(_tokens(F.col("_text"))).alias("token")).groupBy("token").count(), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
@@ -205,32 +281,25 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             break
         floor, size = bucket, size + n
     head = [] if floor is None else [(bytes(r[0]), r[1]) for r in counts.where(scale >= floor).select(F.col("token").cast("binary"), "count").collect()]
-    tail = counts if floor is None else counts.where(scale < floor)
-    by_class = tail.groupBy((F.crc32(F.col("token").cast("binary")) % TAIL_CLASSES).cast("int").alias("c")).agg(F.sum("count"), F.count("*")).collect()
+    other = counts if floor is None else counts.where(scale < floor)
+    by_class = other.groupBy((F.crc32(F.col("token").cast("binary")) % TAIL_CLASSES).cast("int").alias("c")).agg(F.sum("count"), F.count("*")).collect()
     vocabulary = Vocabulary(head, total, distinct, {r[0]: (r[1], r[2]) for r in by_class})
     del head
     shared = spark.sparkContext.broadcast(vocabulary)
-    weights = train(training.select(F.coalesce("_text", F.lit("")).cast("binary").alias("_b")), shared, rounds)
+    weights = train(training.select(F.coalesce("_text", F.lit("")).cast("binary").alias("_b")), shared)
     trained = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = shared.value, trained.value
+        v, w = shared.value, [x.astype(np.float32) for x in trained.value]
         for batch in batches:
             keys, done = batch["_k"].to_numpy(), 0
             out = {n: [] for n in ("_k", "token", "n", "base", "score")}
             for part in _slabs(v.lists(batch["_b"].to_pylist())):
-                ids, classes, starts = v.arrays(part)
-                f, size = features(ids, starts), len(v.ids)
-                logs = np.empty(len(ids))
-                for i in range(0, len(ids), STEP):
-                    x = _logits(w, v.bias, f[i : i + STEP])
-                    c = classes[i : i + STEP]
-                    logs[i : i + STEP] = (x[np.arange(len(x)), c] - np.log(np.exp(x).sum(axis=1))) / math.log(10)
-                head = ids < size
+                ids, tail, starts = v.arrays(part)
+                head = ids < len(v.ids)
+                logs = log_probabilities(v, w, ids, tail, starts)
                 base = np.zeros(len(ids))
                 base[head] = v.base[ids[head]]
-                logs[head] += v.within[ids[head]]
-                logs[~head] -= np.log10(v.room[classes[~head]])
                 n = np.diff(np.append(starts, len(ids)))
                 known = np.add.reduceat(head.astype(np.int64), starts)
                 k = keys[done : done + len(part)]
@@ -250,7 +319,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_pydict({"_k": pa.array(out["_k"], pa.int64()), "token": pa.array(out["token"], pa.binary()), "n": pa.array(out["n"], pa.int64()), "base": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
 
     scanned = materialize(mapped(source.select("_k", F.coalesce("_text", F.lit("")).cast("binary").alias("_b")), run, "_k long, token binary, n long, base double, score double"), "scored")
-    rare = scanned.where("token IS NOT NULL").join(tail.select(F.col("token").cast("binary").alias("token"), F.col("count").alias("c")), "token", "left")
+    rare = scanned.where("token IS NOT NULL").join(other.select(F.col("token").cast("binary").alias("token"), F.col("count").alias("c")), "token", "left")
     part = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     rare = rare.select("_k", F.col("n").alias("all"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"), part.alias("base"), part.alias("score"))
     whole = scanned.where("token IS NULL").select("_k", F.col("n").alias("all"), F.col("n").alias("known"), "base", "score")

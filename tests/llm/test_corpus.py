@@ -277,6 +277,94 @@ def test_lm(spark, edge):
         assert r.n_known == sum(t in counts for t in tokens[r.doc_id])
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    again = lm_scoring.score(docs.repartition(5), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).collect()
+    assert sorted(r.score for r in again) == pytest.approx(sorted(r.score for r in got), rel=1e-12)
+    assert lm_scoring.score(edge.where("false"), F.lit(False)).count() == 0 and lm_scoring.score(edge, F.lit(True)).count() == len(EDGE)
+    named = edge.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(1).alias("_held"), F.lit("x").alias("_k"))
+    assert lm_scoring.score(named, F.lit(False)).count() == len(EDGE)
+
+
+def test_lm_against_plain_sums(spark):
+    """Every factor of every token's probability, from dictionaries; all probabilities after a history sum to one."""
+    levels = ((3, 1, 64, 32), (2, 24, 16, 64), (2, 24 * 64, 4, 64))
+    rng = random.Random(6)
+    words = ["w%d" % i for i in range(90)]
+    texts = [" ".join(rng.choice(words[: rng.choice([5, 90])]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    counts, tokens = {}, [[*t.encode().split(), b"\n"] for t in texts]
+    for ts in tokens:
+        for t in ts:
+            counts[t] = counts.get(t, 0) + 1
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    head, rest = ranked[:70], ranked[70:]
+    tails = {}
+    for w in rest:
+        c = zlib.crc32(w) % 8
+        tails[c] = (tails.get(c, (0, 0))[0] + counts[w], tails.get(c, (0, 0))[1] + 1)
+    v = lm_scoring.Vocabulary([(w, counts[w]) for w in head], sum(counts.values()), len(counts), tails, levels)
+    shared = spark.sparkContext.broadcast(v)
+    weights = lm_scoring.train(spark.createDataFrame([(t.encode(),) for t in texts], "_b binary").repartition(3), shared)
+    head = sorted(head, key=lambda w: w[::-1])
+    number = {w: i if w in head else len(head) + (zlib.crc32(w) & 0xFFFF) for i, w in [*enumerate(head), *((0, w) for w in rest)]}
+    number |= {w: i for i, w in enumerate(head)}
+
+    def place(w):  # (level, node, outcome) of a token's factors
+        if w not in head:
+            return [(0, 0, 24 + zlib.crc32(w) % 8)]
+        i = number[w]
+        c, s, t = i // v.per_class, i % v.per_class // v.per_subclass, i % v.per_class % v.per_subclass
+        return [(0, 0, c), (1, c, s), (2, c * 64 + s, t)]
+
+    def slot(kind, value):
+        h = (value + kind + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        return ((h ^ h >> 32) * 0xD6E8FEB86659FD93 & (1 << 64) - 1) >> 40
+
+    def history(ts, i):
+        one = number[ts[i - 1]] if i > 0 else -1
+        two = number[ts[i - 2]] if i > 1 else -1 if i == 1 else -2
+        return [slot(0, one), slot(1, one * 1_000_003 + two), slot(2, two)]
+
+    mass = {}
+    for w in head:
+        for level, node, outcome in place(w):
+            mass[level, node, outcome] = mass.get((level, node, outcome), 0) + counts[w] + 0.5
+    for c in range(8):
+        n, k = tails.get(c, (0, 0))
+        mass[0, 0, 24 + c] = n + 0.5 * (k + 1)
+    seen = {}
+    for ts in tokens:
+        for i, w in enumerate(ts):
+            h = history(ts, i)
+            for level, node, outcome in place(w):
+                kinds, _, size, _ = levels[level]
+                for k in range(kinds):
+                    key = (level, node, k, h[k] % size)
+                    seen.setdefault(key, {})[outcome] = seen.get(key, {}).get(outcome, 0) + 1
+
+    def log_p(ts, i, w):
+        h, total = history(ts, i), 0.0
+        for level, node, outcome in place(w):
+            kinds, _, size, _ = levels[level]
+            options = {o: m for (a, b, o), m in mass.items() if (a, b) == (level, node)}
+            room, x = sum(options.values()), {}
+            for o, m in options.items():
+                x[o] = math.log(m / room)
+                for k in range(kinds):
+                    got = seen.get((level, node, k, h[k] % size), {})
+                    mean = sum(got.values()) * m / room
+                    x[o] += float(np.float16(lm_scoring.RATE * math.log1p((got.get(o, 0) - mean) / (mean + lm_scoring.PRIOR)))) if got else 0.0
+            total += x[outcome] - math.log(sum(map(math.exp, x.values())))
+        return total / math.log(10)
+
+    arrays = v.arrays(tokens)
+    got = lm_scoring.log_probabilities(v, [w.astype(np.float32) for w in weights], *arrays)
+    want = []
+    for ts in tokens:
+        want += [log_p(ts, i, w) - (0 if w in head else math.log10(mass[0, 0, 24 + zlib.crc32(w) % 8])) for i, w in enumerate(ts)]
+    assert np.allclose(got, want, atol=2e-4)
+    ts = tokens[3]
+    one = sum(10 ** log_p(ts, 1, w) for w in head) + sum(10 ** log_p(ts, 1, w) for w in {24 + zlib.crc32(w) % 8: w for w in rest}.values())
+    missing = {c for c in range(8)} - {zlib.crc32(w) % 8 for w in rest}
+    assert one < 1 + 1e-6 and (missing or abs(one - 1) < 1e-6)
 
 
 def test_mixing(spark, edge):
