@@ -27,6 +27,8 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from .common import SPACES, column, keyed, mapped, materialize
 #: Classes of the head and of all other tokens; subclasses of a class and tokens of a subclass at most; most tokens in the head.
 HEAD_CLASSES, TAIL_CLASSES, WIDE = 24, 8, 64
 CLASSES, HEAD = HEAD_CLASSES + TAIL_CLASSES, HEAD_CLASSES * WIDE * WIDE
-#: Of each softmax the kinds of features, the nodes it is for, the hashed features of a kind for a node, and the outcomes.
+#: Of each softmax the kinds of features, the nodes it is for, the hashed features of a kind for a node (a power of two), and the outcomes.
 LEVELS = ((3, 1, 1 << 13, CLASSES), (2, HEAD_CLASSES, 1 << 10, WIDE), (2, HEAD_CLASSES * WIDE, 1 << 6, WIDE))
 #: How far a weight goes along its gradient, and what is added to its expectation.
 RATE, PRIOR = 0.6, 0.5
@@ -93,10 +95,10 @@ class Vocabulary:
         """Of all texts' tokens in a row: ids (over the head: from the CRC-32), the CRC class of others, and where texts start."""
         get, size = self.ids.get, len(self.ids)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((get(t, -1) for ts in lists for t in ts), np.int64, sizes.sum())
+        flat = list(chain.from_iterable(lists))
+        ids = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
         rest = np.flatnonzero(ids < 0)
-        flat = [t for ts in lists for t in ts] if len(rest) else []
-        crc = np.fromiter((zlib.crc32(flat[i]) for i in rest.tolist()), np.int64, len(rest))
+        crc = np.fromiter(map(zlib.crc32, itemgetter(*rest.tolist())(flat) if len(rest) > 1 else [flat[i] for i in rest]), np.int64, len(rest))
         ids[rest] = size + (crc & 0xFFFF)
         tail = np.zeros(len(ids), np.int64)
         tail[rest] = HEAD_CLASSES + crc % TAIL_CLASSES
@@ -127,31 +129,56 @@ def hashes(ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 def rows_of(level: tuple, kind: int, node: np.ndarray | int, h: np.ndarray) -> np.ndarray:
     """Rows of a level's table: of each kind and node a block of hashed features."""
     _, nodes, features, _ = level
-    return (kind * nodes + node) * features + h % features
+    return (kind * nodes + node) * features + (h & (features - 1))
 
 
-def _each(v: Vocabulary, ids: np.ndarray, tail: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """(level, tokens, rows by kind, nodes, outcomes) of the tokens in a row."""
+def _each(v: Vocabulary, ids: np.ndarray, tail: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, list[np.ndarray], np.ndarray]]:
+    """(level, tokens, rows by kind, outcomes) of the tokens in a row."""
     h = hashes(ids, starts)
     classes, head, finer = v.outcomes(ids, tail)
-    yield 0, np.arange(len(ids)), [rows_of(v.levels[0], k, 0, h[k]) for k in range(v.levels[0][0])], np.zeros(len(ids), np.int64), classes
+    yield 0, slice(None), [rows_of(v.levels[0], k, 0, h[k]) for k in range(v.levels[0][0])], classes
     for level, (node, outcome) in enumerate(finer, 1):
-        yield level, head, [rows_of(v.levels[level], k, node, h[k][head]) for k in range(v.levels[level][0])], node, outcome
+        yield level, head, [rows_of(v.levels[level], k, node, h[k][head]) for k in range(v.levels[level][0])], outcome
 
 
 def tables(levels: tuple, kind) -> list[np.ndarray]:
     return [np.zeros((kinds * nodes * features, wide), kind) for kinds, nodes, features, wide in levels]
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-    """Logarithms of a softmax's probabilities [token, outcome]."""
-    x = weights[rows[0]]
-    for r in rows[1:]:
-        x += weights[r]
-    x += bias[node]
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+class Scorer:
+    """Logarithms of probabilities under trained weights; the biases stand in the rows of the first kind."""
+
+    def __init__(self, v: Vocabulary, weights: list[np.ndarray]):
+        self.v, self.weights = v, [w.astype(np.float32) for w in weights]
+        for (_, nodes, features, _), w, bias in zip(v.levels, self.weights, v.bias, strict=True):
+            w[: nodes * features] += np.repeat(bias, features, axis=0)
+
+    def chosen(self, level: int, rows: list[np.ndarray], outcome: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the outcomes' probabilities. Sums of weights stay under 80, so exponentials need no shift."""
+        w, out = self.weights[level], np.empty(len(outcome))
+        wide = w.shape[1]
+        x, more = np.empty((STEP, wide), np.float32), np.empty((STEP, wide), np.float32)
+        for i in range(0, len(outcome), STEP):
+            o = outcome[i : i + STEP]
+            n = len(o)
+            np.take(w, rows[0][i : i + STEP], axis=0, out=x[:n], mode="clip")
+            for r in rows[1:]:
+                np.take(w, r[i : i + STEP], axis=0, out=more[:n], mode="clip")
+                np.add(x[:n], more[:n], out=x[:n])
+            own = x[np.arange(n), o].astype(np.float64)
+            np.exp(x[:n], out=x[:n])
+            out[i : i + STEP] = own - np.log(x[:n].sum(axis=1))
+        return out
+
+    def tokens(self, ids: np.ndarray, tail: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Base-10 logarithms of each token's probability; of tail tokens that of their class, with its room taken off."""
+        v, logs = self.v, np.zeros(len(ids))
+        for level, tokens, rows, outcome in _each(v, ids, tail, starts):
+            logs[tokens] += self.chosen(level, rows, outcome)
+        logs /= math.log(10)
+        rest = np.flatnonzero(ids >= len(v.ids))
+        logs[rest] -= np.log10(v.room[tail[rest]])
+        return logs
 
 
 def moved(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -213,10 +240,10 @@ def train(texts: DataFrame, vocabulary) -> list[np.ndarray]:
         v, seen = vocabulary.value, tables(levels, np.int32)
         for batch in batches:
             for part in _slabs(v.lists(batch["_b"].to_pylist())):
-                for level, _, rows, _, outcome in _each(v, *v.arrays(part)):
-                    flat = seen[level].reshape(-1)
+                for level, _, rows, outcome in _each(v, *v.arrays(part)):
+                    flat, ones = seen[level].reshape(-1), np.ones(len(outcome), np.int32)  # of one type, which add.at is fast for
                     for r in rows:
-                        np.add.at(flat, r * levels[level][3] + outcome, 1)
+                        np.add.at(flat, r * levels[level][3] + outcome, ones)
         part = TaskContext.get().partitionId() % PARTS
         for level in range(len(levels)):
             blobs = [(k, _packed(x)) for k in range(SLICES) if (x := seen[level][_slice(levels[level], k)]).any()]
@@ -246,20 +273,6 @@ def train(texts: DataFrame, vocabulary) -> list[np.ndarray]:
     return weights
 
 
-def log_probabilities(v: Vocabulary, weights: list[np.ndarray], ids: np.ndarray, tail: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Base-10 logarithms of each token's probability; of tail tokens that of their class, with its room taken off."""
-    logs = np.zeros(len(ids))
-    for level, tokens, rows, node, outcome in _each(v, ids, tail, starts):
-        for i in range(0, len(tokens), STEP):
-            part = slice(i, i + STEP)
-            x = log_softmax(weights[level], v.bias[level], [r[part] for r in rows], node[part])
-            logs[tokens[part]] += x[np.arange(len(x)), outcome[part]]
-    logs /= math.log(10)
-    rest = np.flatnonzero(ids >= len(v.ids))
-    logs[rest] -= np.log10(v.room[tail[rest]])
-    return logs
-
-
 def _tokens(text: Column) -> Column:
     """Native tokens as binary; the end token is a line feed."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -290,14 +303,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     trained = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = shared.value, [x.astype(np.float32) for x in trained.value]
+        scorer = Scorer(shared.value, trained.value)
+        v = scorer.v
         for batch in batches:
             keys, done = batch["_k"].to_numpy(), 0
             out = {n: [] for n in ("_k", "token", "n", "base", "score")}
             for part in _slabs(v.lists(batch["_b"].to_pylist())):
                 ids, tail, starts = v.arrays(part)
                 head = ids < len(v.ids)
-                logs = log_probabilities(v, w, ids, tail, starts)
+                logs = scorer.tokens(ids, tail, starts)
                 base = np.zeros(len(ids))
                 base[head] = v.base[ids[head]]
                 n = np.diff(np.append(starts, len(ids)))
