@@ -88,9 +88,6 @@ class Vocabulary:
         c, rest = np.divmod(ids, self.per_class)
         return c, *np.divmod(rest, self.per_subclass)
 
-    def lists(self, texts: list[bytes | None]) -> list[list[bytes]]:
-        return [[*(t or b"").lower().split(), END] for t in texts]
-
     def arrays(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts' tokens in a row: ids (over the head: from the CRC-32), the CRC class of others, and where texts start."""
         get, size = self.ids.get, len(self.ids)
@@ -186,12 +183,12 @@ def moved(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.nda
     return weights + RATE * np.log1p((seen - expected) / (expected + PRIOR))
 
 
-def _slabs(lists: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
-    """Parts of about 2^17 tokens."""
+def _slabs(texts: list[bytes | None]) -> Iterator[list[list[bytes]]]:
+    """Tokens of texts, in parts of about 2^17 tokens, of which one is held at a time."""
     part, size = [], 0
-    for x in lists:
-        part.append(x)
-        size += len(x)
+    for t in texts:
+        part.append([*(t or b"").lower().split(), END])
+        size += len(part[-1])
         if size >= 1 << 17:
             yield part
             part, size = [], 0
@@ -239,7 +236,7 @@ def train(texts: DataFrame, vocabulary) -> list[np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, seen = vocabulary.value, tables(levels, np.int32)
         for batch in batches:
-            for part in _slabs(v.lists(batch["_b"].to_pylist())):
+            for part in _slabs(batch["_b"].to_pylist()):
                 for level, _, rows, outcome in _each(v, *v.arrays(part)):
                     flat, ones = seen[level].reshape(-1), np.ones(len(outcome), np.int32)  # of one type, which add.at is fast for
                     for r in rows:
@@ -308,7 +305,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         for batch in batches:
             keys, done = batch["_k"].to_numpy(), 0
             out = {n: [] for n in ("_k", "token", "n", "base", "score")}
-            for part in _slabs(v.lists(batch["_b"].to_pylist())):
+            for part in _slabs(batch["_b"].to_pylist()):
                 ids, tail, starts = v.arrays(part)
                 head = ids < len(v.ids)
                 logs = scorer.tokens(ids, tail, starts)
