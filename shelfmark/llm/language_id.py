@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, held, mapped
+from .common import column, held, mapped, packed
 
 #: About so many texts of each language, none over so many bytes, are learned from.
 SAMPLE, SAMPLE_BYTES = 300, 100_000
@@ -32,7 +32,7 @@ ROUNDS, SMOOTH = 3, 0.1
 #: A text's evidence counts for so many characters at most.
 EVIDENCE = 100
 #: Most words that a worker keeps, and the longest (in characters) that the batched passes take; longer ones go one by one.
-KEPT, SHORT = 400_000, 24
+KEPT, SHORT = 250_000, 24
 _SCALE = 30.0
 #: Closes a word in the lattice; no code point.
 _END = (1 << 21) - 1
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", *, lan
     if model is None:
         return kept.withColumns({language: F.lit("und"), score: F.lit(0.0)})
     shared, key = spark.sparkContext.broadcast(model), hash((model.p.tobytes(), tuple(model.languages)))
-    rows = docs.select(F.struct(*map(column, names)).alias("row") if names else F.lit(None).alias("row"), column(text_col).alias("text"))
+    rows = docs.select(packed(docs, (text_col, language, score), "row"), column(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held(("language", key), lambda: _Scorer(shared.value))
@@ -273,7 +273,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", *, lan
                 for i, b in zip(part, best, strict=True):
                     languages[i] = scorer.model.languages[b]
                 scores[part] = 1 / odds.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(languages, pa.string()), pa.array(scores)], names=["row", "language", "score"])
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["text"], pa.array(languages, pa.string()), pa.array(scores)], names=["row", "text", "language", "score"])
 
-    made = mapped(rows, run, rows.select("row").withColumns({"language": F.lit(""), "score": F.lit(0.0)}).schema, ("language", key))
-    return made.select(*[F.col("row")[c].alias(c) for c in names], F.col("language").alias(language), F.col("score").alias(score))
+    made = mapped(rows, run, rows.withColumns({"language": F.lit(""), "score": F.lit(0.0)}).schema, ("language", key))
+    return made.select(*[F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in names], F.col("language").alias(language), F.col("score").alias(score))
