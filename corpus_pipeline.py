@@ -17,9 +17,10 @@ SURE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not told (und, or a posterior under SURE) go; lang becomes the prediction."""
     model = language_id.learn(docs, "text", "lang", "doc_id", public_tokenizers.path(PIECES))
-    found = language_id.predict(docs.select(packed(docs), "text"), model, language="_lang", score="_score")
+    found = language_id.predict(docs.select(packed(docs, ("text", "lang")), "text"), model, language="_lang", score="_score")
     sure = found.where((F.col("_lang") != "und") & (F.col("_score") >= SURE))
-    return sure.select(*[F.col("_lang").alias(c) if c == "lang" else F.col("_row")[c].alias(c) for c in docs.columns])
+    known = {"lang": F.col("_lang"), "text": F.col("text")}
+    return sure.select(*[known.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
