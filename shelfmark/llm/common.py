@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,11 +82,8 @@ def held(key, make: Callable):
     return _held[key]
 
 
-def _trim(key) -> None:
-    """Give memory back to the system, that of what other operators have left in this worker too."""
-    if key not in _held:
-        _held.clear()
-    gc.collect()
+def _trim() -> None:
+    """Give memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -97,11 +93,13 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """df.mapInArrow(run, schema) whose workers, which Spark uses again, don't keep the memory of a task; key: what run holds."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _trim(key)
+        if _held and key not in _held:  # another operator's
+            _held.clear()
+            _trim()
         try:
             yield from run(batches)
         finally:
-            _trim(key)
+            _trim()
 
     return df.mapInArrow(whole, schema)
 

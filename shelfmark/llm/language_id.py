@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -231,10 +232,10 @@ class _Scorer:
         """Summed log scores [text, language]."""
         split = [t.split() for t in texts]
         known = self.known
-        fresh = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known]
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
         if len(known) + len(fresh) > self.kept:
             known.clear()
-            fresh = list(dict.fromkeys(w for ws in split for w in ws))
+            fresh = list(dict.fromkeys(chain.from_iterable(split)))
         table = self.table
         if len(fresh) > self.kept:  # one text of very many words
             known, table = {}, np.empty((len(fresh), table.shape[1]))

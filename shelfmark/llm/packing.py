@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,10 @@ class Encoder:
         done = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
         split = [[] if i in done else self.parts.findall(t) for i, t in enumerate(texts)]
         known = self.known
-        fresh = [p for p in dict.fromkeys(p for parts in split for p in parts) if p not in known]
+        fresh = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in known]
         if len(known) + len(fresh) > KEPT:
             known.clear()
-            fresh = list(dict.fromkeys(p for parts in split for p in parts))
+            fresh = list(dict.fromkeys(chain.from_iterable(split)))
         encode = self.merger.encode_ordinary
         found = {p: array("I", encode(p)).tobytes() for p in fresh}
         known.update((p, x) for p, x in found.items() if len(p) <= KEPT_LENGTH)
