@@ -62,6 +62,8 @@ class Encoder:
         assert results == sorted(results), "the merges' order differs from the ids'"
         self.merger = tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={})
         self.tokenizer = Tokenizer.from_file(path)
+        self.sizes = np.zeros(max(ids.values()) + 1, np.int64)
+        self.sizes[list(ids.values())] = [len(b) for b in ids]
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # texts with special strings, or with what only Python takes as white space, are encoded whole
         self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)]))
@@ -71,6 +73,21 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _merged(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts. Those of one space and what follows it are merged as one string and told apart by their bytes."""
+        encode = self.merger.encode_ordinary
+        row = [p for p in parts if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        found: dict[str, bytes] = {}
+        if row:
+            ids = np.array(encode("".join(row)), "<u4")
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum(np.fromiter((len(p.encode()) for p in row), np.int64, len(row)))
+            last = np.searchsorted(ends, wanted)
+            if (ends[np.minimum(last, len(ends) - 1)] == wanted).all():
+                cuts, data = (4 * np.concatenate(([0], last + 1))).tolist(), ids.tobytes()
+                found = {p: data[a:b] for p, a, b in zip(row, cuts, cuts[1:], strict=False)}
+        return found | {p: array("I", encode(p)).tobytes() for p in parts if p not in found}
+
     def texts(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if self.whole.search(t)]
         done = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
@@ -80,8 +97,7 @@ class Encoder:
         if len(known) + len(fresh) > KEPT:
             known.clear()
             fresh = list(dict.fromkeys(chain.from_iterable(split)))
-        encode = self.merger.encode_ordinary
-        found = {p: array("I", encode(p)).tobytes() for p in fresh}
+        found = self._merged(fresh)
         known.update((p, x) for p, x in found.items() if len(p) <= KEPT_LENGTH)
         odd = any(len(p) > KEPT_LENGTH for p in fresh)
         of = (lambda p: found.get(p) or known[p]) if odd else known.__getitem__

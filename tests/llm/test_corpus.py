@@ -159,7 +159,7 @@ def test_packing(spark, edge):
     assert (sizes.cumsum() - rows.length == rows.offset).all() and sizes.sum().max() <= 1024
     assert len(sizes.sum()) <= rows.length.sum() / 1024 * 1.02 + 2
     encoder = packing.Encoder(path)
-    texts = [r.text for r in docs.collect()] + [t or "" for _, t in EDGE] + ["a  b   c\n\n d \n", "<|endoftext|>a", "x \x1c y", "it's\t\tz "]
+    texts = [r.text for r in docs.collect()] + [t or "" for _, t in EDGE] + ["a  b   c\n\n d \n", "<|endoftext|>a", "x \x1c y", "it's\t\tz ", " lead 's n't\u00a0x \u2003 y  ", "1 2,3 \u0301 \u0e01\u0e33 \U0001f600!? \u3000z"]
     want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.texts(texts)] == want
     full = np.array(want[0] + [2], "<u4").tobytes()
